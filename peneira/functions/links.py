@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from peneira.config import TRACKING_PARAM
+from peneira.functions.once import let
 
 
 def host(url: Column) -> Column:
@@ -18,7 +19,10 @@ def canonical_url(url: Column) -> Column:
 
     Other parameters stay, in sorted order: some boards name the posting in one.
     """
-    bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    return let(F.regexp_replace(F.trim(url), "#.*$", ""), _key)
+
+
+def _key(bare: Column) -> Column:
     site = F.lower(F.regexp_extract(bare, r"^[A-Za-z]+://([^/?]+)", 1))
     path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z]+://[^/?]+([^?]*)", 1), "/+$", "")
     params = F.array_sort(

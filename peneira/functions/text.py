@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.ml.feature import NGram
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accented letters and the plain letter each folds to, position by position.
@@ -33,30 +36,14 @@ def term_text(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Token array of an already prepared ``term_text``; empty for blank or null text."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda w: w != "")
-
-
-def tail(words: Column, start: int) -> Column:
-    """Elements from the 1-based position ``start`` on."""
-    return F.slice(words, F.lit(start), F.greatest(F.size(words) - (start - 1), F.lit(0)))
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), " "), "")
 
 
-def ngrams_up_to(words: Column, n: int) -> Column:
-    """Distinct 1..n-word grams of a token array.
-
-    Grams grow by zipping the previous length with a shifted copy, so the text is scanned
-    n times in the JVM and no position index is exploded.
-    """
-    grams, current = [words], words
-    for size in range(2, n + 1):
-        current = F.filter(
-            F.zip_with(
-                current, tail(words, size), lambda a, b: F.concat(a, F.lit(" "), b)
-            ),
-            lambda g: g.isNotNull(),
-        )
-        grams.append(current)
-    return F.array_distinct(F.concat(*grams))
+def with_ngrams(df: DataFrame, words: str, sizes: Sequence[int], prefix: str) -> DataFrame:
+    """Add one array column ``<prefix><n>`` of n-word runs per size, in text order."""
+    for n in sizes:
+        df = NGram(n=n, inputCol=words, outputCol=f"{prefix}{n}").transform(df)
+    return df
 
 
 def summarise(c: Column, limit: int) -> Column:

@@ -60,6 +60,11 @@ def flag_jobs(jobs: DataFrame) -> DataFrame:
     )
 
 
+def job_flags(jobs: DataFrame) -> DataFrame:
+    """``job_id, failed, dup_of``: what triage needs to know of a posting's cleaning."""
+    return flag_jobs(jobs).select("job_id", "failed", "dup_of")
+
+
 def failed(required: Sequence[str] = DEFAULTS.required_fields) -> Column:
     """Whether a field without which a posting is of no use is missing."""
     return F.arrays_overlap("missing_fields", F.array(*map(F.lit, required)))

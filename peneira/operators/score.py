@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peneira.config import APPLY, DEFAULTS, IGNORE, REVIEW, Settings, Weights
+from peneira.functions.once import computed
 from peneira.functions.text import term_text
 from peneira.operators.keyed import hot_keys, salted_join
 
@@ -40,18 +41,23 @@ def _one(prefix: str, label: Column) -> Column:
     )
 
 
-def _signatures(features: Column) -> tuple[Column, Column]:
-    """Two 64-bit signatures of a feature set: each feature sets one bit in either."""
+def _codes(features: Column) -> Column:
+    """Features as 64-bit hashes: what joins, bounds and shares compare."""
+    return F.transform(features, lambda f: F.xxhash64(f))
+
+
+def _signatures(codes: Column) -> tuple[Column, Column]:
+    """Two 64-bit signatures of a code set: each code sets one bit in either."""
 
     def fold(offset: int) -> Column:
         return F.aggregate(
-            features,
+            codes,
             F.lit(0).cast("long"),
-            lambda seen, f: seen.bitwiseOR(
+            lambda seen, code: seen.bitwiseOR(
                 F.call_function(
                     "shiftleft",
                     F.lit(1).cast("long"),
-                    F.pmod(F.shiftright(F.xxhash64(f), offset), F.lit(64)).cast("int"),
+                    F.pmod(F.shiftright(code, offset), F.lit(64)).cast("int"),
                 )
             ),
         )
@@ -80,8 +86,9 @@ def posting_features(job_features: DataFrame) -> DataFrame:
             )
         ).alias("features"),
     )
-    first, second = _signatures(F.col("features"))
-    return rows.withColumns({"signature_1": first, "signature_2": second})
+    coded = rows.withColumn("codes", _codes(F.col("features")))
+    first, second = _signatures(F.col("codes"))
+    return coded.withColumns({"signature_1": first, "signature_2": second})
 
 
 def scoring_profiles(profile_features: DataFrame, weights: Weights = DEFAULTS.weights) -> DataFrame:
@@ -101,17 +108,19 @@ def scoring_profiles(profile_features: DataFrame, weights: Weights = DEFAULTS.we
         _prefixed("term", F.array_union("unwanted_discard", "avoid_area")).alias("discard"),
         total.alias("total_weight"),
     )
+    codes = {f"code_{d}": _codes(F.col(f"want_{d}")) for d in _FEATURE}
+    codes["code_unwanted"] = _codes(F.col("unwanted_penalize"))
     masks = {}
     for d in _FEATURE:
-        masks[f"mask_1_{d}"], masks[f"mask_2_{d}"] = _signatures(F.col(f"want_{d}"))
-    return rows.withColumns(masks)
+        masks[f"mask_1_{d}"], masks[f"mask_2_{d}"] = _signatures(F.col(f"code_{d}"))
+    return rows.withColumns(codes).withColumns(masks)
 
 
 def feature_counts(postings: DataFrame) -> DataFrame:
-    """Number of postings per feature."""
+    """Number of postings per feature code."""
     return (
-        postings.select(F.explode("features").alias("feature"))
-        .groupBy("feature")
+        postings.select(F.explode("codes").alias("code"))
+        .groupBy("code")
         .agg(F.count(F.lit(1)).alias("n_postings"))
     )
 
@@ -161,7 +170,7 @@ def probe_features(
         if d not in _ANY_OF:
             points = points / F.size(f"want_{d}")
         return F.transform(
-            f"want_{d}", lambda f: F.struct(f.alias("feature"), points.alias("points"))
+            f"code_{d}", lambda code: F.struct(code.alias("code"), points.alias("points"))
         )
 
     listed = profiles.select(
@@ -170,18 +179,18 @@ def probe_features(
         F.inline(
             F.concat(
                 *[F.when(F.size(f"want_{d}") > 0, worth(d)).otherwise(
-                    F.array().cast("array<struct<feature:string,points:double>>")
+                    F.array().cast("array<struct<code:bigint,points:double>>")
                 ) for d in _FEATURE]
             )
         ),
     )
-    worths = listed.groupBy("profile_id", "threshold", "feature").agg(F.sum("points").alias("points"))
-    order = Window.partitionBy("profile_id").orderBy(F.desc("n_postings"), "feature")
+    worths = listed.groupBy("profile_id", "threshold", "code").agg(F.sum("points").alias("points"))
+    order = Window.partitionBy("profile_id").orderBy(F.desc("n_postings"), "code")
     return (
-        worths.join(counts, "feature")
+        worths.join(counts, "code")
         .withColumn("reach", F.sum("points").over(order))
         .where(F.col("reach") >= F.col("threshold") - ROUNDING_SLACK)
-        .select("profile_id", "feature", "n_postings")
+        .select("profile_id", "code", "n_postings")
     )
 
 
@@ -201,52 +210,53 @@ def candidate_pairs(
     """
     per_profile = probes.groupBy("profile_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("n_postings", "feature"))), lambda s: s["feature"]
+            F.array_sort(F.collect_list(F.struct("n_postings", "code"))), lambda s: s["code"]
         ).alias("probes")
     )
-    wanting = profiles.join(per_profile, "profile_id").withColumn("feature", F.explode("probes"))
-    wanted = probes.groupBy("feature").agg(F.count(F.lit(1)).alias("n_right"))
-    sizes = wanted.join(counts.withColumnRenamed("n_postings", "n_left"), "feature")
-    offered = postings.withColumn("feature", F.explode("features"))
+    wanting = profiles.join(per_profile, "profile_id").withColumn("code", F.explode("probes"))
+    wanted = probes.groupBy("code").agg(F.count(F.lit(1)).alias("n_right"))
+    sizes = wanted.join(counts.withColumnRenamed("n_postings", "n_left"), "code")
+    offered = postings.withColumn("code", F.explode("codes"))
     partitions = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = salted_join(
-        offered, wanting, ["feature"], F.col("job_id"), F.col("profile_id"),
-        hot_keys(sizes, ["feature"]), partitions,
+        offered, wanting, ["code"], F.col("job_id"), F.col("profile_id"),
+        hot_keys(sizes, ["code"]), partitions,
     )
     return pairs.where(score_bound(weights) >= threshold - ROUNDING_SLACK).drop(
         *[c for c in pairs.columns if c.startswith(("mask_", "signature_"))]
     )
 
 
-def _matched(d: str) -> Column:
-    return F.filter(f"want_{d}", lambda f: F.array_contains("features", f))
+def _n_met(wishes: str) -> Column:
+    return F.size(F.array_intersect(wishes, "codes"))
 
 
 def share(d: str) -> Column:
     """0-1 share of one dimension; null where the profile states no wish for it."""
-    met = F.size(_matched(d))
-    part = F.when(met > 0, 1.0).otherwise(0.0) if d in _ANY_OF else met / F.size(f"want_{d}")
-    return F.when(F.size(f"want_{d}") > 0, part)
+    met = _n_met(f"code_{d}")
+    part = F.when(met > 0, 1.0).otherwise(0.0) if d in _ANY_OF else met / F.size(f"code_{d}")
+    return F.when(F.size(f"code_{d}") > 0, part)
 
 
 def unwanted_hits() -> Column:
-    return F.size(F.filter("unwanted_penalize", lambda f: F.array_contains("features", f)))
+    return _n_met("code_unwanted")
 
 
 def with_shares(pairs: DataFrame) -> DataFrame:
     """Candidates with their shares; of a pair met at several features only the first stays.
 
-    The shares come out of a generator of one row each. A filter on them cannot be pushed
-    below it, so the join condition stays as small as the score bound, and each share is
-    evaluated once, for pairs that passed the bound.
+    The shares come out of generators of one row each. A filter on them cannot be pushed
+    below, so the join condition stays as small as the score bound and each share is
+    evaluated once, for pairs that passed the bound. Several small generators instead of
+    one keep each generated method short enough for the JVM to compile.
     """
-    first = F.element_at(F.filter("probes", lambda f: F.array_contains("features", f)), 1)
-    row = F.struct(
-        (first == F.col("feature")).alias("_first"),
-        *[share(d).alias(f"{d}_share") for d in _FEATURE],
-        unwanted_hits().alias("unwanted_hits"),
-    )
-    return pairs.select("*", F.inline(F.array(row))).where("_first").drop("_first", "feature", "probes")
+    first = F.element_at(F.array_intersect("probes", "codes"), 1)
+    kept = computed(pairs, _first=first == F.col("code")).where("_first")
+    for group in (("role", "technology"), ("seniority", "modality"), ("location", "required")):
+        kept = computed(kept, **{f"{d}_share": share(d) for d in group})
+    kept = computed(kept, unwanted_hits=unwanted_hits())
+    spent = ["_first", "code", "codes", "probes", *[c for c in pairs.columns if c.startswith("code_")]]
+    return kept.drop(*spent)
 
 
 def _points(d: str, weights: Weights) -> Column:
@@ -254,7 +264,7 @@ def _points(d: str, weights: Weights) -> Column:
 
 
 def total_score(weights: Weights = DEFAULTS.weights) -> Column:
-    """Weighted mean of the stated dimensions on 0-100, plus bonus, minus penalty."""
+    """Weighted mean of the stated dimensions on 0-100, plus bonus, minus penalty, half up."""
     earned = _points(DIMENSIONS[0], weights)
     for d in DIMENSIONS[1:]:
         earned = earned + _points(d, weights)
@@ -264,7 +274,7 @@ def total_score(weights: Weights = DEFAULTS.weights) -> Column:
         + F.lit(weights.required_bonus) * F.coalesce("required_share", F.lit(0.0))
         - F.lit(weights.unwanted_penalty) * F.col("unwanted_hits")
     )
-    return F.round(F.greatest(F.least(raw, F.lit(100.0)), F.lit(0.0))).cast("int")
+    return F.floor(F.greatest(F.least(raw, F.lit(100.0)), F.lit(0.0)) + 0.5).cast("int")
 
 
 def classify(score: Column, settings: Settings = DEFAULTS) -> Column:
@@ -292,6 +302,10 @@ def score_candidates(
     )
 
 
+def _matched(d: str) -> Column:
+    return F.array_intersect(f"want_{d}", "features")
+
+
 def _terms(d: str, features: Column) -> Column:
     return F.transform(features, lambda f: F.substr(f, F.lit(len(_FEATURE[d]) + 2)))
 

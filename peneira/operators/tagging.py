@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peneira.config import DEFAULTS, HYBRID, ON_SITE, REMOTE
-from peneira.functions.text import ngrams_up_to, term_text, tokens
+from peneira.functions.once import computed, let
+from peneira.functions.text import term_text, tokens, with_ngrams
 from peneira.operators.keyed import broadcast_if_bounded
 
 MAX_BROADCAST_TERMS = 500_000
@@ -32,10 +33,15 @@ CONTRACT_WORDS = (
 
 
 def _first_label(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
-    label = F.lit(None).cast("string")
-    for name, words in reversed(table):
-        label = F.when(text.rlike(f"(^| )({words})( |$)"), F.lit(name)).otherwise(label)
-    return label
+    """Label of the first table row whose words occur."""
+
+    def pick(prepared: Column) -> Column:
+        label = F.lit(None).cast("string")
+        for name, words in reversed(table):
+            label = F.when(prepared.rlike(f"(^| )({words})( |$)"), F.lit(name)).otherwise(label)
+        return label
+
+    return let(text, pick)
 
 
 def posting_text(*columns: str) -> Column:
@@ -63,21 +69,22 @@ def tag_seniority(jobs: DataFrame) -> DataFrame:
 
 
 def _grams(df: DataFrame, key: str, fields: dict[str, str], max_words: int) -> DataFrame:
-    """(key, field, term_norm): the distinct 1..n-word terms of each named text column.
-
-    Tokens are a column of their own first, so each text is normalised once.
-    """
-    prepared = df.select(
-        key, *[tokens(term_text(F.col(c))).alias(f"_{name}") for name, c in fields.items()]
+    """(key, field, term_norm): the distinct 1..n-word terms of each named text column."""
+    rows = computed(
+        df.select(key, *set(fields.values())),
+        **{f"_{name}": tokens(term_text(F.col(c))) for name, c in fields.items()},
     )
+    for name in fields:
+        rows = with_ngrams(rows, f"_{name}", range(2, max_words + 1), f"_{name}_")
 
     def entries(name: str) -> Column:
+        runs = [f"_{name}", *[f"_{name}_{n}" for n in range(2, max_words + 1)]]
         return F.transform(
-            ngrams_up_to(F.col(f"_{name}"), max_words),
+            F.array_distinct(F.concat(*runs)),
             lambda g: F.struct(F.lit(name).alias("field"), g.alias("term_norm")),
         )
 
-    return prepared.select(key, F.inline(F.concat(*map(entries, fields))))
+    return rows.select(key, F.inline(F.concat(*map(entries, fields))))
 
 
 def term_dictionary(profile_terms: DataFrame) -> DataFrame:
@@ -145,12 +152,13 @@ def tag_location(
     )
 
 
-def job_features(jobs: DataFrame, dictionary: DataFrame, places: DataFrame) -> DataFrame:
+def job_features(
+    jobs: DataFrame, dictionary: DataFrame, places: DataFrame, flags: DataFrame | None = None
+) -> DataFrame:
     """One narrow row per posting with everything scoring compares; no raw text.
 
-    Cleaning flags, where the postings have them, are carried along.
+    ``flags`` is a table of further per-posting columns to carry along, keyed by ``job_id``.
     """
-    flags = [c for c in ("failed", "dup_of") if c in jobs.columns]
     whole = posting_text("title", "location", "description")
     body = posting_text("title", "description")
     facts = jobs.select(
@@ -163,7 +171,6 @@ def job_features(jobs: DataFrame, dictionary: DataFrame, places: DataFrame) -> D
         modality(whole).alias("modality"),
         seniority(body).alias("seniority"),
         contract(body).alias("contract"),
-        *flags,
     )
     terms = tag_terms(facts, dictionary)
     places_found = tag_location(facts, location_dictionary(places))
@@ -171,9 +178,13 @@ def job_features(jobs: DataFrame, dictionary: DataFrame, places: DataFrame) -> D
         F.array(term_text("modality"), term_text("seniority")), lambda t: t.isNotNull()
     )
     none = F.array().cast("array<string>")
+    narrow = facts.drop("description", "location")
+    carried = []
+    if flags is not None:
+        narrow = narrow.join(flags, "job_id", "left")
+        carried = [c for c in flags.columns if c != "job_id"]
     return (
-        facts.drop("description", "location")
-        .join(terms, "job_id", "left")
+        narrow.join(terms, "job_id", "left")
         .join(places_found, "job_id", "left")
         .select(
             "job_id",
@@ -182,7 +193,7 @@ def job_features(jobs: DataFrame, dictionary: DataFrame, places: DataFrame) -> D
             "modality",
             "seniority",
             "contract",
-            *flags,
+            *carried,
             F.coalesce("technologies", none).alias("technologies"),
             F.coalesce("title_terms", none).alias("title_terms"),
             F.coalesce("terms", none).alias("terms"),

@@ -27,9 +27,10 @@ class Inputs:
 def prepare(
     jobs: DataFrame, profiles: DataFrame, places: DataFrame, settings: Settings = DEFAULTS
 ) -> Inputs:
-    """Tag the postings' text and normalise the preferences."""
-    dictionary = T.term_dictionary(P.profile_terms(profiles, settings.weights))
-    features = T.job_features(jobs, dictionary, places)
+    """Tag and clean the postings and normalise the preferences."""
+    terms = P.profile_terms(profiles, settings.weights)
+    dictionary = stage(T.term_dictionary(terms), "dictionary")
+    features = T.job_features(jobs, dictionary, places, C.job_flags(jobs))
     postings = stage(S.posting_features(features), "postings")
     wide = S.scoring_profiles(P.profile_features(profiles), settings.weights)
     return Inputs(postings, stage(wide, "profiles"), S.feature_counts(postings))
@@ -68,5 +69,5 @@ def top_jobs(inputs: Inputs, k: int, settings: Settings = DEFAULTS) -> DataFrame
 
 
 def triaged(inputs: Inputs, as_of: Column, settings: Settings = DEFAULTS) -> DataFrame:
-    """Scored pairs with their status; ``prepare`` must have been given flagged postings."""
+    """Scored pairs with one visible status each and the reasons for it."""
     return C.resolve_status(C.flag_pairs(score(inputs, settings=settings), as_of))

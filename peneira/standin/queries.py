@@ -63,7 +63,7 @@ def inputs(spark: SparkSession, d: str) -> triage.Inputs:
     return _once(
         spark, d, "inputs",
         lambda: triage.prepare(
-            C.flag_jobs(V.jobs(spark, d)), V.profiles(spark, d), V.places(spark, d)
+            V.jobs(spark, d), V.profiles(spark, d), V.places(spark, d)
         ),
     )
 
