@@ -11,12 +11,22 @@ from peneira.config import DEFAULTS, JOB_FIELDS
 from peneira.functions.dates import parse_date
 from peneira.functions.html import html_to_text
 from peneira.functions.links import canonical_url, host
+from peneira.functions.once import computed
 from peneira.functions.text import collapse_space
+from peneira.operators.keyed import broadcast_if_bounded
 
 GENERIC = "generic"
+MAX_BROADCAST_SOURCES = 100_000
 BLOCK_SEPARATOR = r"\n-{5,}[ \t]*\n"
 
 _LINE = r"[^\n]*"
+
+
+def _between(lines: int, end: str) -> str:
+    """Text after the first ``lines`` lines, up to a line starting with ``end``."""
+    return rf"(?si)^(?:{_LINE}\n){{{lines}}}(?:{end}.*|(.*?)(?:\n{end}.*)?)$"
+
+
 # Where each layout keeps a field; group 1 is the value. A new layout is one
 # more entry, and a source names it in its parser column.
 RULES: dict[str, dict[str, str]] = {
@@ -26,7 +36,7 @@ RULES: dict[str, dict[str, str]] = {
         "location": rf"^{_LINE}\n{_LINE}\n({_LINE})",
         "url": r"(?m)^(?:Ver vaga|View job): *(\S+)",
         "date_text": rf"(?m)^(?:Publicada|Posted): *({_LINE})",
-        "description": rf"(?s)^(?:{_LINE}\n){{3}}(.*?)(?:(?:^|\n)(?:Publicada|Posted|Ver vaga|View job):.*)?$",
+        "description": _between(3, r"(?:Publicada|Posted|Ver vaga|View job):"),
     },
     "indeed": {
         "title": rf"^({_LINE})",
@@ -34,7 +44,7 @@ RULES: dict[str, dict[str, str]] = {
         "location": rf"^{_LINE}\n[^\n]*? - ({_LINE})",
         "url": r"(?mi)^(https?://\S+)$",
         "date_text": rf"(?m)^(?:Publicado(?: em)?|Posted):? *({_LINE})",
-        "description": rf"(?si)^(?:{_LINE}\n){{2}}(.*?)(?:\n(?:Publicado|Posted|https?://).*)?$",
+        "description": _between(2, r"(?:Publicado|Posted|https?://)"),
     },
     GENERIC: {
         "title": rf"(?mi)^(?:cargo|vaga|title|job): *({_LINE})",
@@ -42,7 +52,10 @@ RULES: dict[str, dict[str, str]] = {
         "location": rf"(?mi)^(?:local|localização|location): *({_LINE})",
         "url": r"(?i)(https?://[^\s<>\"]+)",
         "date_text": rf"(?mi)^(?:data|date): *({_LINE})",
-        "description": r"(?si)(?:^|\n)(?:descrição|description): *(.*?)(?:\n(?:link|data|date):.*)?$",
+        "description": (
+            r"(?si)(?:^|\n)(?:descrição|description): *(.*?)"
+            r"(?:\n(?:cargo|vaga|title|job|empresa|company|local|localização|location|data|date|link|url):.*)?$"
+        ),
     },
 }
 
@@ -50,7 +63,8 @@ RULES: dict[str, dict[str, str]] = {
 def route_parser(messages: DataFrame, sources: DataFrame, rules: Mapping = RULES) -> DataFrame:
     """Messages with the parser their source names; unknown sources use the generic one."""
     known = F.when(F.col("parser").isin(*rules), F.col("parser"))
-    return messages.join(sources.select("label", "parser"), "label", "left").withColumn(
+    registry = broadcast_if_bounded(sources.select("label", "parser"), MAX_BROADCAST_SOURCES)
+    return messages.join(registry, "label", "left").withColumn(
         "parser", F.coalesce(known, F.lit(GENERIC))
     )
 
@@ -98,7 +112,7 @@ def extract_fields(blocks: DataFrame, rules: Mapping[str, Mapping[str, str]] = R
         return F.nullif(F.trim(chosen), F.lit(""))
 
     fields = ("title", "company", "location", "url", "date_text", "description")
-    return blocks.withColumns({f: pick(f) for f in fields})
+    return computed(blocks, **{f: pick(f) for f in fields})
 
 
 def extract_layout(blocks: DataFrame, parser: str) -> DataFrame:

@@ -43,6 +43,16 @@ def _attach_minimum(directed: DataFrame) -> DataFrame:
     return lookup(directed, least, ["a"], F.col("b"))
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Size and two order-free hashes of the edge set, aggregated without a shuffle of rows."""
+    code = F.xxhash64("a", "b")
+    return tuple(
+        edges.agg(
+            F.count(F.lit(1)), F.bit_xor(code), F.sum(code.cast("decimal(20,0)"))
+        ).first()
+    )
+
+
 def dup_groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """``id, group_id`` for every linked id; the group id is its smallest member.
 
@@ -57,11 +67,11 @@ def dup_groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
         .distinct()
         .checkpoint()
     )
+    after = _fingerprint(edges)
     for _ in range(MAX_ROUNDS):
-        contracted = _star_round(edges).checkpoint()
-        changed = contracted.exceptAll(edges).limit(1).count() + edges.exceptAll(contracted).limit(1).count()
-        edges = contracted
-        if not changed:
+        edges = _star_round(edges).checkpoint()
+        before, after = after, _fingerprint(edges)
+        if before == after:
             break
     else:
         raise RuntimeError(f"groups did not settle in {MAX_ROUNDS} rounds")

@@ -12,10 +12,10 @@ from peneira.sources.registry import active_sources
 def append_raw(messages: DataFrame, path: str) -> None:
     """Append messages unchanged.
 
-    Each task may write several labels; rows are not regrouped by label first, so a label
-    holding much of the mail does not end up in one task.
+    Rows are rebalanced by label: small labels share tasks and files, and a label holding
+    much of the mail is split over several.
     """
-    messages.write.mode("append").partitionBy("label").parquet(path)
+    messages.hint("rebalance", "label").write.mode("append").partitionBy("label").parquet(path)
 
 
 def read_messages(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:

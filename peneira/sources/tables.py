@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peneira.session import stage
+
 N_BUCKETS = 64
 
 
@@ -20,6 +22,7 @@ def write_table(
     """
     (
         df.withColumn("bucket", bucket_of(keys, buckets))
+        .hint("rebalance", "bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
@@ -27,7 +30,7 @@ def write_table(
     )
 
 
-def bucket_of(keys: Sequence[str], buckets: int = N_BUCKETS):
+def bucket_of(keys: Sequence[str], buckets: int = N_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
@@ -47,6 +50,4 @@ def merge_table(
         .drop("bucket")
     )
     # The target cannot be overwritten while it is read, so the merged buckets are staged.
-    from peneira.session import stage
-
     write_table(stage(kept.unionByName(changed), "merge"), path, keys, buckets)

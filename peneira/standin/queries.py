@@ -22,7 +22,7 @@ from peneira.operators import profiles as P
 from peneira.operators import score as S
 from peneira.operators import tagging as T
 from peneira.operators.groups import dup_groups
-from peneira.operators.keyed import keep_first
+from peneira.operators.keyed import keep_first, lookup
 from peneira.operators.similarity import near_dup_pairs
 from peneira.plans import triage
 from peneira.session import scratch_path, stage
@@ -458,9 +458,8 @@ def _lineage(spark, d):
     first = keep_first(
         docs.select(F.md5("raw_text").alias("text_key"), "message_id"), ["text_key"], [F.col("message_id")]
     ).withColumnRenamed("message_id", "group_id")
-    members = docs.select(F.md5("raw_text").alias("text_key"), F.col("message_id").alias("job_id")).join(
-        first, "text_key"
-    )
+    texts = docs.select(F.md5("raw_text").alias("text_key"), F.col("message_id").alias("job_id"))
+    members = lookup(texts, first, ["text_key"], F.col("job_id"))
     mentions = docs.select(F.col("message_id").alias("job_id"), "message_id", "received_at")
     return C.job_lineage(members.select("job_id", "group_id"), mentions)
 
