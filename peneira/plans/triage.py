@@ -6,12 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from peneira.config import DEFAULTS, Settings
 from peneira.operators import clean as C
 from peneira.operators import profiles as P
 from peneira.operators import score as S
 from peneira.operators import tagging as T
+from peneira.operators.keyed import lookup
 from peneira.session import stage
 
 
@@ -68,6 +70,25 @@ def top_jobs(inputs: Inputs, k: int, settings: Settings = DEFAULTS) -> DataFrame
     return ranked.select("profile_id", "rank", "job_id", "posted_at", "score", "classification")
 
 
+_EXPLANATION = ("features", "want_", "unwanted_penalize", "discard", "avoid_")
+
+
 def triaged(inputs: Inputs, as_of: Column, settings: Settings = DEFAULTS) -> DataFrame:
-    """Scored pairs with one visible status each and the reasons for it."""
-    return C.resolve_status(C.flag_pairs(score(inputs, settings=settings), as_of))
+    """Scored pairs with one visible status each and the reasons for it.
+
+    The term arrays are spent here: a stored pair is narrow, and ``explainable`` brings the
+    arrays back for the pairs that are shown.
+    """
+    flagged = C.resolve_status(C.flag_pairs(score(inputs, settings=settings), as_of))
+    return flagged.drop(*[c for c in flagged.columns if c.startswith(_EXPLANATION)])
+
+
+def explainable(inputs: Inputs, pairs: DataFrame) -> DataFrame:
+    """Stored pairs with the term arrays the explanation and the drafts are built from."""
+    wishes = inputs.profiles.select(
+        "profile_id", "unwanted_penalize",
+        *[c for c in inputs.profiles.columns if c.startswith("want_")],
+    )
+    found = inputs.postings.select("job_id", "features")
+    with_wishes = lookup(pairs, wishes, ["profile_id"], F.col("job_id"))
+    return lookup(with_wishes, found, ["job_id"], F.col("profile_id"))

@@ -75,6 +75,11 @@ def triaged(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def explained(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
+    """Triaged pairs with what their explanation is built from."""
+    return triage.explainable(inputs(spark, d), triaged(spark, d) if pairs is None else pairs)
+
+
 # --- sources and sync
 
 
@@ -510,24 +515,24 @@ def scr9_total_score(spark, d):
 
 @query
 def scr10_score_breakdown(spark, d):
-    return S.score_breakdown(triaged(spark, d)).select(
+    return S.score_breakdown(explained(spark, d)).select(
         "profile_id", "job_id", "dimension", "points", joined("evidence").alias("evidence")
     )
 
 
 @query
 def scr11_strengths(spark, d):
-    return triaged(spark, d).select("profile_id", "job_id", joined(S.strengths()).alias("strengths"))
+    return explained(spark, d).select("profile_id", "job_id", joined(S.strengths()).alias("strengths"))
 
 
 @query
 def scr12_gaps(spark, d):
-    return triaged(spark, d).select("profile_id", "job_id", joined(S.gaps()).alias("gaps"))
+    return explained(spark, d).select("profile_id", "job_id", joined(S.gaps()).alias("gaps"))
 
 
 @query
 def scr13_reason(spark, d):
-    return triaged(spark, d).select("profile_id", "job_id", S.reason().alias("reason"))
+    return explained(spark, d).select("profile_id", "job_id", S.reason().alias("reason"))
 
 
 @query
@@ -543,7 +548,7 @@ def scr15_rank_jobs(spark, d):
 @query
 def scr16_stale_pairs(spark, d):
     """Pairs to score again after some profiles changed and newer postings came in."""
-    done = S.analyses(triaged(spark, d), F.lit("2001-09-01 00:00:00"))
+    done = S.analyses(explained(spark, d), F.lit("2001-09-01 00:00:00"))
     known = done.where("score >= 70").withColumn(
         "profile_version", F.when(F.col("score") >= 90, F.col("profile_version") - 1).otherwise(F.col("profile_version"))
     )
@@ -599,7 +604,7 @@ def dsh7_class(spark, d):
 def dsh8_job_detail(spark, d):
     summaries = V.jobs(spark, d).select("job_id", summarise(F.col("description"), 40).alias("summary"))
     detail = B.job_detail(
-        triaged(spark, d), V.jobs(spark, d), V.sources(spark, d), summaries, _materials(spark, d)
+        explained(spark, d), V.jobs(spark, d), V.sources(spark, d), summaries, _materials(spark, d)
     )
     return detail.select(
         "profile_id", "job_id", "title", "company", "location", "source", "url", "summary", "score",
@@ -623,7 +628,7 @@ def _ready(spark, d) -> DataFrame:
 
 def _matched(spark, d) -> DataFrame:
     def build():
-        pairs = _ready(spark, d).withColumn("reason", S.reason())
+        pairs = explained(spark, d, _ready(spark, d)).withColumn("reason", S.reason())
         people = V.profiles(spark, d).select(
             "profile_id", "full_name", "current_role", F.col("summary").alias("profile_summary")
         )
