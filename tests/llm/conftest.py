@@ -1,0 +1,25 @@
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+HERE = Path(__file__).resolve().parent
+sys.path[:0] = [str(HERE), str(HERE.parents[1])]
+
+from conftest_llm import CLASHING, ROWS, SCHEMA  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def clashing(docs):
+    return docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
