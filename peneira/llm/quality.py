@@ -14,9 +14,9 @@ from peneira.llm.common import fresh, whole_text
 from peneira.llm.encoding import texts
 from peneira.llm.hashing import groups, word_hashes
 
-SAMPLE_ROWS = 6000
-HASH_BITS = 12
-STEPS, RATE, DECAY = 300, 8.0, 1e-4
+SAMPLE_ROWS = 5000
+HASH_BITS = 11
+STEPS, RATE, DECAY = 200, 8.0, 1e-4
 EM_ROUNDS = 60
 KEEP_FROM = 0.5
 BINS = 8
@@ -32,31 +32,36 @@ _UPPER = _chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LOWER = _chars("abcdefghijklmnopqrstuvwxyz")
 _WIDE = np.concatenate([np.zeros(128, np.int64), np.ones(128, np.int64)])
 _BLANK = _chars(" \t\n\r\x0b\x0c")
-_SYMBOL = _chars("*$#%&@^~<>{}[]\\_=+`")
+_DIGIT = _chars("0123456789")
+_SYMBOL = _chars("*$#%&^~<>{}[]\\`")
 _COUNTS = {
-    "upper": _UPPER, "letters": _UPPER + _LOWER, "wide": _WIDE, "blank": _BLANK,
+    "upper": _UPPER, "letters": _UPPER + _LOWER, "other": _WIDE + _DIGIT, "blank": _BLANK,
     "symbols": _SYMBOL, "shouts": _chars("!"), "columns": _chars("|"), "stops": _chars(".?!"),
 }
 
 
 @dataclass(frozen=True)
 class Labeller:
-    """Votes 2 (bad) from ``bad_from``, 1 (good) up to ``good_to``, else 0; abstains on texts under ``words``."""
+    """Votes 2 (bad) from ``bad_from``, 1 (good) up to ``good_to``, else 0; abstains on texts under ``words``.
+
+    A labeller for one defect never says good: that one defect is missing says little.
+    """
 
     name: str
-    good_to: float
     bad_from: float
     words: int = 3
+    good_to: float = -1.0
 
 
 LABELLERS = (
-    Labeller("symbols", 0.01, 0.05),
-    Labeller("capitals", 0.1, 0.3, 8),
-    Labeller("shouting", 0.03, 0.15, 8),
-    Labeller("repeats", 0.04, 0.15, 20),
-    Labeller("columns", 0.02, 0.1),
-    Labeller("unlettered", 0.15, 0.25, 8),
-    Labeller("unbroken", 60.0, 300.0, 20),
+    Labeller("symbols", 0.05),
+    Labeller("capitals", 0.3, 8),
+    Labeller("shouting", 0.15),
+    Labeller("repeats", 0.15, 12),
+    Labeller("columns", 0.1),
+    Labeller("unlettered", 0.2, 8, good_to=0.1),
+    Labeller("unbroken", 150.0, 8, good_to=40.0),
+    Labeller("unruly", 0.2, 8, good_to=0.03),
 )
 
 
@@ -80,8 +85,9 @@ def statistics(group: Sequence[str]) -> np.ndarray:
             c["shouts"] / n,
             repeats / n,
             c["columns"] / n,
-            1 - (c["letters"] + c["wide"]) / visible,
+            1 - (c["letters"] + c["other"]) / visible,
             n / (c["stops"] + 1),
+            (c["symbols"] + c["columns"] + c["shouts"] + repeats) / n,
             words,
         ]
     )
@@ -107,7 +113,10 @@ def ballots_of(pattern: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Share of good texts and, per labeller and class, how often it abstains, says good, says bad."""
+    """Share of good texts and, per labeller and class, how often it abstains, says good, says bad.
+
+    Silence tells nothing: a text on which all are silent is good with the corpus's own share.
+    """
 
     prior: float
     tables: np.ndarray
@@ -117,11 +126,12 @@ class LabelModel:
         """Expectation-maximisation over the histogram of vote patterns.
 
         The votes of a labeller are taken as independent of the others given the class. The
-        start is the majority of votes, with one dissent in ten.
+        start is the majority of votes (a bad one counts twice, silence is good) with one
+        dissent in ten.
         """
         ballots = ballots_of(patterns)
         lead = (ballots == 1).sum(axis=1) - 2.0 * (ballots == 2).sum(axis=1)
-        good = np.where(lead > 0, 0.9, np.where(lead < 0, 0.1, 0.5))
+        good = np.where(lead < 0, 0.1, 0.9)
         model = cls(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3))
         for _ in range(EM_ROUNDS):
             for side, weight in ((0, (1 - good) * counts), (1, good * counts)):
@@ -135,7 +145,7 @@ class LabelModel:
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Chance that a text with these votes is good."""
         ballots = ballots_of(patterns)
-        logs = np.log(self.tables)
+        logs = np.log(self.tables) * (np.arange(3) > 0)  # silence is no evidence
         rows = np.arange(len(LABELLERS))
         sides = [logs[rows, side, ballots].sum(axis=1) for side in (0, 1)]
         margin = sides[1] - sides[0] + np.log(self.prior / (1 - self.prior))
@@ -143,7 +153,7 @@ class LabelModel:
 
 
 _EDGES = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4])
-WIDTH = (1 << HASH_BITS) + BINS * (len(LABELLERS) - 1)
+WIDTH = (1 << HASH_BITS) + BINS * len(LABELLERS)
 
 
 def features(group: Sequence[str], stats: np.ndarray) -> np.ndarray:
@@ -159,7 +169,7 @@ def features(group: Sequence[str], stats: np.ndarray) -> np.ndarray:
         total = counts.sum()
         if total:
             out[k, : 1 << HASH_BITS] = np.sqrt(counts / total)
-    for k in range(len(LABELLERS) - 1):
+    for k in range(len(LABELLERS)):
         step = np.searchsorted(_EDGES, stats[:, k], side="right").clip(0, BINS - 1)
         out[np.arange(len(group)), (1 << HASH_BITS) + BINS * k + step] = 0.3
     return out

@@ -1,4 +1,7 @@
-"""Awkward rows that all operators must take."""
+"""Awkward rows that all operators must take, and fixtures of them."""
+
+import pytest
+from pyspark.sql import functions as F
 
 LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor " * 4000
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards brew strange potions in old copper kettles".split()
@@ -35,5 +38,20 @@ CLASHING = (
 )
 
 
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def clashing(docs):
+    return docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
 def found(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest_llm import CLASHING, ROWS, SCHEMA, found, sentence
+from corpus_fixtures import ROWS, SCHEMA, clashing, docs, empty, found, sentence  # noqa: F401
 from pyspark.sql import functions as F
 
 from peneira.llm import decontaminate, encoding, exact_dedup, frames, hashing, packing, pii, quality, secrets, sharding, simhash, token_counts
