@@ -37,10 +37,13 @@ def canonical(df):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    """Corpus queries that SQL can't express are held against plain Python by their own tests."""
+    twins = set(entry_module.oracle_sql())
+    assert twins <= set(entry_module.queries())
+    assert set(entry_module.queries()) - twins <= set(entry_module.CORPUS_QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
 def test_query_matches_twin(spark, con, name):
     got = entry_module.queries()[name](spark, SF_DIR).toPandas()
     want = con.execute(entry_module.oracle_sql()[name]).df()
