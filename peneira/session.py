@@ -14,6 +14,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Rows that carry whole texts or files reach Python a few megabytes at a time.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
