@@ -36,12 +36,22 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality_stage),
-    ("exact_dedup", exact_dedup_stage),
-    ("simhash", simhash_stage),
-    ("decontamination", decontamination_stage),
-    ("packing", packing_stage),
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _with_settings(step: Step) -> Step:
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return step(apply_settings(spark), docs, sf_dir)
+
+    return run_step
+
+
+STAGES: list[tuple[str, Step]] = [
+    ("quality", _with_settings(quality_stage)),
+    ("exact_dedup", _with_settings(exact_dedup_stage)),
+    ("simhash", _with_settings(simhash_stage)),
+    ("decontamination", _with_settings(decontamination_stage)),
+    ("packing", _with_settings(packing_stage)),
 ]
 
 # Token ids can't be expressed in SQL; tests hold run() against plain Python.
@@ -50,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are stored before the next reads them."""
-    docs = table(apply_settings(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
 MEMO_CHARS = 48
 _LOOSE = re.compile(r" (?=\s|\Z)")
 _UNIT = re.compile(r"(?s)(?<=.)(?= \S)")
@@ -37,6 +37,11 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return np.fromiter(ids, dtype="<u4", count=len(ids)).tobytes()
+
+
 class Encoder:
     """Encodes whole texts and remembers the ids of words it has met.
 
@@ -56,43 +61,46 @@ class Encoder:
         self.memo_words = memo_words
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.older_bare: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        return np.array(found.ids, dtype="<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a blank and one word; a word of letters alone is a single piece for the model."""
-        known = self.older.get(word)
-        if known is None:
-            if word.isalpha() and max(word) <= _LAST_LETTER:
-                piece = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-                known = np.array([t.id for t in self.model.tokenize(self.blank + piece)], dtype="<u4").tobytes()
-            elif word[-1] in ",." and word[:-1].isalpha() and max(word) <= _LAST_LETTER:
-                known = self._known(word[:-1]) + self._known_mark(word[-1])
-            else:
-                known = self._plain(" " + word)
-        if len(word) <= MEMO_CHARS:
-            self.memo[word] = known
-        return known
-
-    def _known(self, word: str) -> bytes:
-        found = self.memo.get(word)
-        return self._word(word) if found is None else found
-
-    def _known_mark(self, mark: str) -> bytes:
-        key = "\0" + mark
-        found = self.memo.get(key)
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, word: str, blank: str) -> bytes:
+        """Ids of one word, with the blank before it if one is given; it holds no blank itself.
+
+        Letters alone are a single piece for the model; a mark at their end and a line
+        break between two words are pieces of their own.
+        """
+        if word.isalpha() and max(word) <= _LAST_LETTER:
+            letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            return _packed([t.id for t in self.model.tokenize((self.blank if blank else "") + letters)])
+        if word[-1] in ",." and word[:-1].isalpha() and max(word) <= _LAST_LETTER:
+            return self._known(word[:-1], blank) + self._known(word[-1], "")
+        before, line, after = word.partition("\n")
+        if line and before and after and not before[-1].isspace() and not after[0].isspace():
+            return self._known(before, blank) + self._known(line, "") + self._known(after, "")
+        return self._plain(blank + word)
+
+    def _known(self, word: str, blank: str) -> bytes:
+        """Ids of a word from memory, or newly made and remembered."""
+        memo, older = (self.memo, self.older) if blank else (self.bare, self.older_bare)
+        found = memo.get(word)
         if found is None:
-            found = self.memo[key] = self._plain(mark)
+            found = older.get(word)
+            if found is None:
+                found = self._piece(word, blank)
+            if len(word) <= MEMO_CHARS and "\n" not in word[1:]:
+                memo[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self.memo) > self.memo_words:
-            self.older, self.memo = self.memo, {}
+        if len(self.memo) + len(self.bare) > self.memo_words:
+            self.older, self.older_bare, self.memo, self.bare = self.memo, self.bare, {}, {}
         if _LOOSE.search(text):
             first, *rest = _UNIT.split(text)
             words = [unit[1:] for unit in rest]
@@ -101,8 +109,8 @@ class Encoder:
         memo, found = self.memo, []
         for word in words:
             known = memo.get(word)
-            found.append(self._word(word) if known is None else known)
-        return self._plain(first) + b"".join(found)
+            found.append(self._known(word, " ") if known is None else known)
+        return (self._known(first, "") if first else b"") + b"".join(found)
 
 
 @lru_cache(maxsize=2)

@@ -30,8 +30,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
 LEVEL = 3
-FILE_BYTES = 8 << 20
-PART_BYTES = 32 << 20
+FILE_BYTES = 4 << 20
+PART_BYTES = 16 << 20
 
 
 def checksum(plain: bytes) -> int:

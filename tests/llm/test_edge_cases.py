@@ -140,21 +140,30 @@ def test_near_duplicates_against_all_pairs(spark):
 
 
 def test_groups_over_several_blocks(spark, monkeypatch):
-    """Small blocks and ranges: groups are cut and compared across blocks."""
+    """A group cut into blocks has the classes of the whole group."""
     rng = np.random.default_rng(9)
     base = 0x0123456789ABCDEF
-    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(400)})
-    whole = simhash.link_codes(np.sort(np.array(fps, dtype=np.uint64)))
-    assert len(whole[0])
-    blocks = []
-    for k in range(0, len(fps), 50):
-        codes = np.array(sorted(fps, key=lambda f: int(simhash.gray_rank(np.array([f], np.uint64))[0]))[k : k + 50], dtype=np.uint64)
-        patterns, masks = simhash.Index(codes).levels[-1]
-        blocks.append((k, 0, 0, int(masks.view(np.int64)[0]), int(patterns.view(np.int64)[0]), bytearray(codes.tobytes())))
-    cut = spark.createDataFrame(blocks, "block long, pair int, top long, mask long, pattern long, codes binary")
-    across = {tuple(sorted((r["a"], r["b"]))) for r in simhash._across_blocks(cut).collect()}
-    perm = {int(simhash.restored(np.array([f], np.uint64), 0).view(np.int64)[0]): f for f in fps}
-    assert across and all((perm[a] ^ perm[b]).bit_count() <= 8 for a, b in across)
+    fps = np.array(sorted({base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(400)}), dtype=np.uint64)
+    codes = simhash.gray_code(np.sort(simhash.gray_rank(fps)))
+    rows, links = [], set()
+    for k in range(0, len(codes), 50):
+        part = codes[k : k + 50]
+        patterns, masks = simhash.Index(part).levels[-1]
+        rows.append((k, 0, 0, int(masks.view(np.int64)[0]), int(patterns.view(np.int64)[0]), bytearray(part.tobytes())))
+        x, y = simhash.link_codes(part)
+        links |= set(zip(part[x].tolist(), part[y].tolist(), strict=True))
+    across = simhash._across_blocks(spark.createDataFrame(rows, "block long, pair int, top long, mask long, pattern long, codes binary"))
+    ends = np.array([(r["a"], r["b"]) for r in across.collect()], dtype=np.int64).view(np.uint64)
+    links |= set(map(tuple, simhash.permuted(ends, 0).tolist()))
+    place = {c: k for k, c in enumerate(codes.tolist())}
+
+    def classes(pairs):
+        own = simhash.Links(len(codes))
+        own.add(*(np.array(v) for v in zip(*pairs, strict=True)))
+        return own.root.tolist()
+
+    near = [(i, j) for i in range(len(codes)) for j in range(i) if (int(codes[i]) ^ int(codes[j])).bit_count() <= 4]
+    assert classes([(place[a], place[b]) for a, b in links]) == classes(near)
 
 
 def test_components_of_long_chains(spark):
