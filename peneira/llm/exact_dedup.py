@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peneira.llm.common import spread_join, whole_text
+from peneira.llm.common import ROWS_PER_SALT, spread_join, whole_text
 from peneira.operators.keyed import keep_first
 from peneira.session import scratch_path, stage
 
@@ -17,6 +18,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.metricsEnabled": "false",
 }
 BLANKS = "\t\n\x0b\x0c\r "
@@ -111,40 +113,56 @@ def _survey(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[Ledger
     return ledger, stage(agreed, "verdicts")
 
 
+def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by digest and salt: digests of rows unlike the first of their run, and every run's first text where a digest has several."""
+    run, first = None, None
+    for batch in batches:
+        digests, salts, several, plain = (batch.column(c).to_pylist() for c in ("_digest", "_salt", "_salts", "_plain"))
+        found, heads = [], []
+        for digest, salt, many, text in zip(digests, salts, several, plain, strict=True):
+            if run != (digest, salt):
+                run, first = (digest, salt), text
+                if many > 1:
+                    found.append(digest)
+                    heads.append(text)
+            elif text != first:
+                found.append(digest)
+                heads.append(None)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(heads, pa.string())], ["_digest", "_head"])
+
+
 def _agreed(ledger: Ledger, docs: DataFrame, entries: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` after comparing full bytes: rows unlike the text their digest points to form groups of their own.
+    """``found`` after comparing full bytes: rows of a digest that stands for several texts are grouped by the text itself.
 
-    Only rows whose digest was met more than once take part; a hot digest's rows are dealt
-    over salts and its located text repeated for each.
+    Texts meet once, sorted by digest; each is compared with the first of its run, so a task
+    holds two texts at a time. A hot digest's rows are dealt over salts, each with a run of
+    its own, and the runs' first texts are compared afterwards.
     """
-    hits = entries.where("group_size > 1").select("_digest", "keep_id", "group_size")
     plain = ledger.marked(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), "_digest", "_points", normalised(whole_text()).alias("_plain")
     )
-    again = stage(spread_join(plain, hits, ["_digest"], F.col("doc_id"), "group_size"), "hits")
-    located = (
-        again.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("_digest")
-        .agg(F.min("_plain").alias("_located"), F.max("group_size").alias("_rows"))
+    # Stored, so that its true size decides how texts are joined to it: as a rule there are few.
+    hot = stage(
+        entries.where(F.col("group_size") > ROWS_PER_SALT).select(
+            "_digest", F.ceil(F.col("group_size") / ROWS_PER_SALT).cast("int").alias("_salts")
+        ),
+        "hot-digests",
     )
-    compared = spread_join(again, located, ["_digest"], F.col("doc_id"), "_rows")
-    differing = compared.where("_plain != _located").select("doc_id", "_digest", "_points", "_plain")
-    if differing.isEmpty():
+    dealt = plain.join(hot, "_digest", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_points"), F.col("_salts")).cast("int"))
+    runs = dealt.select("_digest", "_salt", "_salts", "_plain").repartition("_digest", "_salt").sortWithinPartitions("_digest", "_salt")
+    seen = stage(runs.mapInArrow(_unlike, "_digest string, _head string"), "unlike")
+    # Two first texts that differ, or a row unlike its run's first, which came without a text.
+    collided = seen.groupBy("_digest").agg(F.min("_head").alias("a"), F.max("_head").alias("b"), F.count_if(F.col("_head").isNull()).alias("n"))
+    collided = collided.where("n > 0 or a != b").select("_digest")
+    if collided.isEmpty():
         return found
-    apart = stage(differing, "collisions")
+    apart = stage(plain.join(collided, "_digest", "left_semi"), "collisions")
     own = apart.groupBy("_digest", "_plain").agg(F.max(place(F.lit(""))).alias("best"), F.count(F.lit(1)).alias("group_size"))
     regrouped = apart.join(own, ["_digest", "_plain"]).select(
         "doc_id", "_digest", F.col("best.doc_id").alias("keep_id"), "group_size"
     )
-    lost = apart.groupBy("_digest").agg(F.count(F.lit(1)).alias("_lost"))
-    moved = apart.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of")).distinct()
-    rest = (
-        found.join(moved, (F.col("_digest") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-        .join(lost, "_digest", "left")
-        .withColumn("group_size", F.col("group_size") - F.coalesce("_lost", F.lit(0)))
-        .drop("_lost")
-    )
-    return rest.unionByName(regrouped)
+    return found.join(collided, "_digest", "left_anti").unionByName(regrouped)
 
 
 def duplicates(docs: DataFrame, digest: Callable[[Column], Column] = digest) -> DataFrame:
