@@ -28,7 +28,6 @@ class Settings:
     parser_version: int = 1
     default_lang: str = "pt"
     required_fields: tuple[str, ...] = ("title", "url")
-    max_term_words: int = 3
     shingle_words: int = 5
     near_dup_jaccard: float = 0.8
 

@@ -11,7 +11,9 @@ from peneira.config import DEFAULTS
 from peneira.functions.links import canonical_url
 from peneira.functions.text import norm, term_text
 from peneira.operators.extract import missing_fields
+from peneira.operators.groups import dup_groups
 from peneira.operators.keyed import keep_first, lookup
+from peneira.session import stage
 
 # Posting states, the first that applies wins.
 STATUSES = ("extraction_failed", "duplicate", "stale", "incompatible", "active")
@@ -36,33 +38,57 @@ def dup_by_key(jobs: DataFrame, keys: Sequence[str], name: str = "dup_of") -> Da
         [F.asc_nulls_last("posted_at"), F.col("job_id")],
     ).select(*keys, F.col("job_id").alias("_first"))
     return (
-        lookup(jobs, first, keys, F.col("job_id"))
+        lookup(jobs, first, keys)
         .withColumn(name, F.when(F.col("_first") != F.col("job_id"), F.col("_first")))
         .drop("_first")
     )
 
 
-def flag_jobs(jobs: DataFrame) -> DataFrame:
-    """Postings with ``missing_fields``, ``failed`` and ``dup_of`` by link, else by content."""
-    keyed = jobs.withColumns(
-        {
-            "canonical_url": canonical_url(F.col("url")),
-            "missing_fields": missing_fields(),
-            "_company": norm(F.col("company")),
-            "_title": norm(F.col("title")),
-            "_location": norm(F.col("location")),
-        }
-    ).withColumn("failed", failed())
-    by_link = dup_by_key(keyed, ["canonical_url"], "_by_link")
-    both = dup_by_key(by_link, ["_company", "_title", "_location"], "_by_content")
-    return both.withColumn("dup_of", F.coalesce("_by_link", "_by_content")).drop(
-        "_company", "_title", "_location", "_by_link", "_by_content"
+CONTENT_KEYS = ("company", "title", "location")
+
+
+def duplicate_links(jobs: DataFrame) -> DataFrame:
+    """``id_a, id_b``: postings that share a canonical link, or company, title and location."""
+    keyed = stage(
+        jobs.select(
+            "job_id", "posted_at", canonical_url(F.col("url")).alias("canonical_url"), *[norm(F.col(c)).alias(c) for c in CONTENT_KEYS]
+        ),
+        "duplicate-keys",
+    )
+    found = [dup_by_key(keyed, keys).where("dup_of is not null").select(F.col("job_id").alias("id_a"), F.col("dup_of").alias("id_b"))
+             for keys in (["canonical_url"], list(CONTENT_KEYS))]
+    return found[0].unionByName(found[1])
+
+
+def flag_jobs(jobs: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Postings with ``missing_fields``, ``failed``, ``dup_of`` and ``newest_at``.
+
+    Postings joined by duplicate links, directly or over others, are one group; ``links`` adds
+    further ones (``id_a, id_b``, as of near-equal texts). The group shows its earliest posting
+    that is not failed, and all others name it in ``dup_of``. ``newest_at`` is the latest
+    date in the group: a posting put up again is as fresh as its last copy.
+    """
+    marked = jobs.withColumns({"canonical_url": canonical_url(F.col("url")), "missing_fields": missing_fields()})
+    marked = marked.withColumn("failed", failed())
+    pairs = duplicate_links(jobs)
+    if links is not None:
+        pairs = pairs.unionByName(links.select("id_a", "id_b"))
+    groups = stage(dup_groups(pairs).select(F.col("id").alias("job_id"), "group_id"), "duplicate-groups")
+    members = groups.join(marked.select("job_id", "failed", "posted_at"), "job_id")
+    shown = F.min(F.struct("failed", F.col("posted_at").isNull().alias("undated"), "posted_at", "job_id"))
+    heads = members.groupBy("group_id").agg(shown["job_id"].alias("_head"), F.max("posted_at").alias("_newest"))
+    known = groups.join(heads, "group_id").drop("group_id")
+    return (
+        marked.join(known, "job_id", "left")
+        .withColumn("dup_of", F.when(F.col("_head") != F.col("job_id"), F.col("_head")))
+        .withColumn("newest_at", F.coalesce("_newest", "posted_at"))
+        .drop("_head", "_newest")
     )
 
 
-def job_flags(jobs: DataFrame) -> DataFrame:
-    """``job_id, failed, dup_of``: what triage needs to know of a posting's cleaning."""
-    return flag_jobs(jobs).select("job_id", "failed", "dup_of")
+def job_flags(jobs: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``job_id, failed, dup_of, newest_at``: what triage needs to know of a posting's cleaning."""
+    return flag_jobs(jobs, links).select("job_id", "failed", "dup_of", "newest_at")
 
 
 def failed(required: Sequence[str] = DEFAULTS.required_fields) -> Column:
@@ -71,7 +97,8 @@ def failed(required: Sequence[str] = DEFAULTS.required_fields) -> Column:
 
 
 def age_days(as_of: Column) -> Column:
-    return F.datediff(as_of, "posted_at")
+    """Days since the latest copy of the posting went up."""
+    return F.datediff(as_of, "newest_at")
 
 
 def stale(as_of: Column, default_max_age: int = DEFAULTS.max_age_days) -> Column:

@@ -25,8 +25,9 @@ LANGUAGES = tuple(sorted({lang for _, lang in TEMPLATES}))
 _FACT_COLUMN = {"cv": "facts", "letter": "facts", "highlights": "top_facts"}
 
 
-def eligible(scored: DataFrame, cutoff: int = DEFAULTS.draft_cutoff) -> DataFrame:
-    return scored.where(F.col("score") >= cutoff)
+def eligible(triaged: DataFrame, cutoff: int = DEFAULTS.draft_cutoff) -> DataFrame:
+    """Active pairs from the draft cut-off on: nothing is drafted for a hidden posting."""
+    return triaged.where((F.col("score") >= cutoff) & (F.col("status") == "active"))
 
 
 def ready(pairs: DataFrame, missing: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def _attach_minimum(directed: DataFrame) -> DataFrame:
     least = directed.groupBy("a").agg(F.min("b").alias("m")).select(
         "a", F.least("a", "m").alias("least")
     )
-    return lookup(directed, least, ["a"], F.col("b"))
+    return lookup(directed, least, ["a"])
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

@@ -7,13 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keys past the heaviest MAX_HOT_KEYS hold less than 1/MAX_HOT_KEYS of the work each, so
-# they need no split; the list of hot keys is therefore always small enough to broadcast.
-MAX_HOT_KEYS = 1000
-MAX_SPLITS = 4096
 WORK_PER_CELL = 2_000_000
 ROWS_PER_CELL = 2_000
-NULL_SPREAD = 1024
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -28,16 +23,12 @@ def hot_keys(
     """Keys of ``counts(keys.., n_left, n_right)`` whose join deserves more than one task.
 
     Each gets a grid: ``_right`` parts of the right rows by ``_left`` parts of the left rows.
+    Every such key is split; none is left out.
     """
-    work = F.col("n_left") * F.col("n_right")
-    right = F.least(F.ceil(F.col("n_right") / ROWS_PER_CELL), F.lit(MAX_SPLITS))
-    left = F.least(F.ceil(work / right / per_cell), F.lit(MAX_SPLITS))
-    return (
-        counts.where(work > per_cell)
-        .orderBy(work.desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, left.cast("int").alias("_left"), right.cast("int").alias("_right"))
-    )
+    work = F.col("n_left").cast("double") * F.col("n_right")
+    right = F.ceil(F.col("n_right") / ROWS_PER_CELL)
+    left = F.ceil(work / right / per_cell)
+    return counts.where(work > per_cell).select(*keys, left.cast("int").alias("_left"), right.cast("int").alias("_right"))
 
 
 def salted_join(
@@ -56,7 +47,6 @@ def salted_join(
     ``partitions`` fixes the number of tasks where the output is much larger than the
     input, which size-based coalescing cannot see.
     """
-    hot = F.broadcast(hot)
     rows, columns = F.coalesce("_left", F.lit(1)), F.coalesce("_right", F.lit(1))
 
     def band(identity: Column, n: Column) -> Column:
@@ -84,42 +74,23 @@ def salted_join(
     return left.join(right, on).drop(*grid)
 
 
-def lookup(
-    df: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    split_by: Column,
-    per_cell: int = WORK_PER_CELL,
-) -> DataFrame:
-    """Left join to a table with one row per key, splitting the keys ``df`` repeats a lot.
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join to a table with one row per key.
 
-    Rows with a null key match nothing and are spread as well.
+    Both exchanges are Spark's own, so that adaptive execution sees their sizes: it splits a
+    partition in which one key (or null) repeats, and repeats the one row on the other side.
+    Nothing is counted beforehand and ``df`` runs once.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_left"), F.lit(1).alias("n_right"))
-    hot = F.broadcast(hot_keys(counts, keys, per_cell).drop("_right"))
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    parts = F.when(any_null, F.lit(NULL_SPREAD)).otherwise(F.coalesce("_left", F.lit(1)))
-    spread = (
-        df.join(hot, list(keys), "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(split_by), parts).cast("int"))
-        .drop("_left")
-    )
-    repeated = (
-        table.join(hot, list(keys), "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_left", F.lit(1)) - 1)))
-        .drop("_left")
-    )
-    return spread.join(repeated, [*keys, "_salt"], "left").drop("_salt")
+    return df.join(table, list(keys), "left")
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 
-    Beyond that the plain DataFrame comes back and the join shuffles.
+    Beyond that the plain DataFrame comes back and the join shuffles. The count is summed
+    per partition; no rows move for it.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def upsert_latest(

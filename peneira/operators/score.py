@@ -7,13 +7,15 @@ meets a small share of all pairs and still returns every pair at or above that s
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peneira.config import APPLY, DEFAULTS, IGNORE, REVIEW, Settings, Weights
 from peneira.functions.once import computed
 from peneira.functions.text import term_text
-from peneira.operators.keyed import hot_keys, salted_join
+from peneira.operators.keyed import WORK_PER_CELL, hot_keys, salted_join
 
 ROUNDING_SLACK = 0.5 + 1e-9
 
@@ -67,7 +69,7 @@ def _signatures(codes: Column) -> tuple[Column, Column]:
 
 def posting_features(job_features: DataFrame) -> DataFrame:
     """Posting row with one array holding every feature a preference can match."""
-    flags = [c for c in ("failed", "dup_of") if c in job_features.columns]
+    flags = [c for c in ("failed", "dup_of", "newest_at") if c in job_features.columns]
     rows = job_features.select(
         "job_id",
         "posted_at",
@@ -217,7 +219,10 @@ def candidate_pairs(
     wanted = probes.groupBy("code").agg(F.count(F.lit(1)).alias("n_right"))
     sizes = wanted.join(counts.withColumnRenamed("n_postings", "n_left"), "code")
     offered = postings.withColumn("code", F.explode("codes"))
-    partitions = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The output is far larger than the input, which size-based planning cannot see.
+    least = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = sizes.agg(F.sum(F.col("n_left").cast("double") * F.col("n_right"))).first()[0] or 0.0
+    partitions = max(least, math.ceil(work / WORK_PER_CELL))
     pairs = salted_join(
         offered, wanting, ["code"], F.col("job_id"), F.col("profile_id"),
         hot_keys(sizes, ["code"]), partitions,
@@ -251,12 +256,17 @@ def with_shares(pairs: DataFrame) -> DataFrame:
     one keep each generated method short enough for the JVM to compile.
     """
     first = F.element_at(F.array_intersect("probes", "codes"), 1)
-    kept = computed(pairs, _first=first == F.col("code")).where("_first")
+    kept = computed(pairs, _first=first == F.col("code")).where("_first").drop("_first", "code", "probes")
+    return shares(kept)
+
+
+def shares(pairs: DataFrame) -> DataFrame:
+    """Pairs that hold both sides' codes, with every dimension's share and the unwanted hits."""
+    kept = pairs
     for group in (("role", "technology"), ("seniority", "modality"), ("location", "required")):
         kept = computed(kept, **{f"{d}_share": share(d) for d in group})
     kept = computed(kept, unwanted_hits=unwanted_hits())
-    spent = ["_first", "code", "codes", "probes", *[c for c in pairs.columns if c.startswith("code_")]]
-    return kept.drop(*spent)
+    return kept.drop("codes", *[c for c in pairs.columns if c.startswith("code_")])
 
 
 def _points(d: str, weights: Weights) -> Column:
@@ -285,10 +295,6 @@ def classify(score: Column, settings: Settings = DEFAULTS) -> Column:
     )
 
 
-def preferred_min_score() -> Column:
-    return F.coalesce("min_score", F.lit(0)).cast("double")
-
-
 def score_candidates(
     candidates: DataFrame, threshold: Column, settings: Settings = DEFAULTS
 ) -> DataFrame:
@@ -302,6 +308,19 @@ def score_candidates(
     )
 
 
+def score_pairs(
+    pairs: DataFrame, postings: DataFrame, profiles: DataFrame, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Every pair of the list ``profile_id, job_id`` scored and classified, whatever its score.
+
+    The list may be any: work grows with it, not with the product of both tables.
+    """
+    skip = lambda df: df.drop(*[c for c in df.columns if c.startswith(("mask_", "signature_"))])
+    both = pairs.select("profile_id", "job_id").join(skip(profiles), "profile_id").join(skip(postings), "job_id")
+    scored = shares(both).withColumn("score", total_score(settings.weights))
+    return scored.withColumn("classification", classify(F.col("score"), settings))
+
+
 def _matched(d: str) -> Column:
     return F.array_intersect(f"want_{d}", "features")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peneira.config import DEFAULTS, HYBRID, ON_SITE, REMOTE
+from peneira.config import HYBRID, ON_SITE, REMOTE
 from peneira.functions.once import computed, let
 from peneira.functions.text import term_text, tokens, with_ngrams
 from peneira.operators.keyed import broadcast_if_bounded
@@ -68,17 +68,24 @@ def tag_seniority(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("seniority", seniority(posting_text("title", "description")))
 
 
-def _grams(df: DataFrame, key: str, fields: dict[str, str], max_words: int) -> DataFrame:
-    """(key, field, term_norm): the distinct 1..n-word terms of each named text column."""
+def term_sizes(dictionary: DataFrame) -> list[int]:
+    """Word counts that occur among the dictionary's terms: a handful of numbers."""
+    words = F.size(F.split("term_norm", " ")).alias("words")
+    return sorted(r["words"] for r in dictionary.select(words).distinct().collect())
+
+
+def _grams(df: DataFrame, key: str, fields: dict[str, str], sizes: list[int]) -> DataFrame:
+    """(key, field, term_norm): the distinct runs of ``sizes`` words of each named text column."""
+    longer = [n for n in sizes if n > 1]
     rows = computed(
         df.select(key, *set(fields.values())),
         **{f"_{name}": tokens(term_text(F.col(c))) for name, c in fields.items()},
     )
     for name in fields:
-        rows = with_ngrams(rows, f"_{name}", range(2, max_words + 1), f"_{name}_")
+        rows = with_ngrams(rows, f"_{name}", longer, f"_{name}_")
 
     def entries(name: str) -> Column:
-        runs = [f"_{name}", *[f"_{name}_{n}" for n in range(2, max_words + 1)]]
+        runs = [f"_{name}", *[f"_{name}_{n}" for n in longer]]
         return F.transform(
             F.array_distinct(F.concat(*runs)),
             lambda g: F.struct(F.lit(name).alias("field"), g.alias("term_norm")),
@@ -94,17 +101,16 @@ def term_dictionary(profile_terms: DataFrame) -> DataFrame:
     )
 
 
-def tag_terms(
-    jobs: DataFrame, dictionary: DataFrame, max_words: int = DEFAULTS.max_term_words
-) -> DataFrame:
+def tag_terms(jobs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Dictionary terms found per posting: ``job_id, terms, title_terms, technologies``.
 
     ``dictionary`` has the columns of ``term_dictionary``.
 
-    Terms match as whole token runs by equality, so ``PHP`` does not match ``phpunit``. The
-    posting's text never enters a shuffle; only hits do.
+    Terms match as whole token runs by equality, so ``PHP`` does not match ``phpunit``; runs
+    are as long as the dictionary's terms, whatever that is. While the dictionary can be
+    broadcast only hits enter a shuffle, beyond that the runs do; the texts never.
     """
-    hits = _grams(jobs, "job_id", {"title": "title", "body": "description"}, max_words).join(
+    hits = _grams(jobs, "job_id", {"title": "title", "body": "description"}, term_sizes(dictionary)).join(
         broadcast_if_bounded(dictionary, MAX_BROADCAST_TERMS), "term_norm"
     )
     return hits.groupBy("job_id").agg(
@@ -126,14 +132,12 @@ def location_dictionary(places: DataFrame) -> DataFrame:
     return own.union(up).union(top).where("key != ''").distinct()
 
 
-def tag_location(
-    jobs: DataFrame, dictionary: DataFrame, max_words: int = DEFAULTS.max_term_words
-) -> DataFrame:
+def tag_location(jobs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Places a posting answers for: ``job_id, location_keys``.
 
     A remote posting also answers for "remoto global" and "remoto <place>".
     """
-    hits = _grams(jobs, "job_id", {"place": "location"}, max_words).join(
+    hits = _grams(jobs, "job_id", {"place": "location"}, term_sizes(dictionary)).join(
         broadcast_if_bounded(dictionary, MAX_BROADCAST_TERMS), "term_norm"
     )
     found = hits.groupBy("job_id").agg(F.collect_set("key").alias("found"))

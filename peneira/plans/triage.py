@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from peneira.config import DEFAULTS, Settings
 from peneira.operators import clean as C
@@ -38,11 +37,13 @@ def prepare(
     return Inputs(postings, stage(wide, "profiles"), S.feature_counts(postings))
 
 
-def candidates(
-    inputs: Inputs, threshold: Column | None = None, settings: Settings = DEFAULTS
-) -> DataFrame:
-    """Pairs that may reach ``threshold``, by default each profile's own minimum score."""
-    threshold = S.preferred_min_score() if threshold is None else threshold
+def review_threshold(settings: Settings = DEFAULTS) -> Column:
+    """The lowest score worth a look: from here on every pair is found, for all profiles alike."""
+    return F.lit(float(settings.review_cutoff))
+
+
+def candidates(inputs: Inputs, threshold: Column, settings: Settings = DEFAULTS) -> DataFrame:
+    """Pairs that may reach ``threshold``."""
     probes = stage(
         S.probe_features(inputs.profiles, inputs.counts, threshold, settings.weights), "probes"
     )
@@ -51,36 +52,41 @@ def candidates(
     )
 
 
-def score(
-    inputs: Inputs, threshold: Column | None = None, settings: Settings = DEFAULTS
-) -> DataFrame:
+def score(inputs: Inputs, threshold: Column, settings: Settings = DEFAULTS) -> DataFrame:
     """Every pair at or above ``threshold``, scored and classified."""
-    threshold = S.preferred_min_score() if threshold is None else threshold
     return S.score_candidates(candidates(inputs, threshold, settings), threshold, settings)
 
 
-def top_jobs(inputs: Inputs, k: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """Best ``k`` postings per profile."""
-    ranked = S.rank_jobs(
-        score(inputs, settings=settings).select(
-            "profile_id", "job_id", "posted_at", "score", "classification"
-        ),
-        k,
+def top_jobs(triaged_pairs: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` active postings per profile."""
+    active = triaged_pairs.where("status = 'active'").select(
+        "profile_id", "job_id", "posted_at", "score", "classification"
     )
+    ranked = S.rank_jobs(active, k)
     return ranked.select("profile_id", "rank", "job_id", "posted_at", "score", "classification")
 
 
 _EXPLANATION = ("features", "want_", "unwanted_penalize", "discard", "avoid_")
 
 
+def _resolved(scored: DataFrame, as_of: Column) -> DataFrame:
+    flagged = C.resolve_status(C.flag_pairs(scored, as_of))
+    return flagged.drop(*[c for c in flagged.columns if c.startswith(_EXPLANATION)])
+
+
 def triaged(inputs: Inputs, as_of: Column, settings: Settings = DEFAULTS) -> DataFrame:
-    """Scored pairs with one visible status each and the reasons for it.
+    """Pairs of the classes `Aplicar` and `Avaliar`, all of them, with one visible status each.
 
-    The term arrays are spent here: a stored pair is narrow, and ``explainable`` brings the
-    arrays back for the pairs that are shown.
+    The rest, `Ignorar`, is most of the product of both tables: it is counted by subtraction
+    and scored on request by ``triaged_pairs``. The term arrays are spent here: a stored
+    pair is narrow, and ``explainable`` brings the arrays back for the pairs that are shown.
     """
-    flagged = C.resolve_status(C.flag_pairs(score(inputs, settings=settings), as_of))
-    return flagged.drop(*[c for c in flagged.columns if c.startswith(_EXPLANATION)])
+    return _resolved(score(inputs, review_threshold(settings), settings), as_of)
+
+
+def triaged_pairs(inputs: Inputs, pairs: DataFrame, as_of: Column, settings: Settings = DEFAULTS) -> DataFrame:
+    """Any list of pairs ``profile_id, job_id`` with score, class and status."""
+    return _resolved(S.score_pairs(pairs, inputs.postings, inputs.profiles, settings), as_of)
 
 
 def explainable(inputs: Inputs, pairs: DataFrame) -> DataFrame:
@@ -90,5 +96,5 @@ def explainable(inputs: Inputs, pairs: DataFrame) -> DataFrame:
         *[c for c in inputs.profiles.columns if c.startswith("want_")],
     )
     found = inputs.postings.select("job_id", "features")
-    with_wishes = lookup(pairs, wishes, ["profile_id"], F.col("job_id"))
-    return lookup(with_wishes, found, ["job_id"], F.col("profile_id"))
+    with_wishes = lookup(pairs, wishes, ["profile_id"])
+    return lookup(with_wishes, found, ["job_id"])

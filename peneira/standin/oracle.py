@@ -48,6 +48,22 @@ def _share(d: str) -> str:
 _EARNED = " + ".join(f"CAST({_WEIGHT[d]} AS DOUBLE) * coalesce({d}_share, 0)" for d in _DIMS)
 _TOTAL = " + ".join(f"CASE WHEN n_{d} > 0 THEN {_WEIGHT[d]} ELSE 0 END" for d in _DIMS)
 
+
+
+def _scored(pairs: str) -> str:
+    counts = ", ".join(f"count_if(coalesce(dimension, '') = '{d}') AS m_{d}" for d in (*_DIMS, "required"))
+    wishes = ", ".join(f"coalesce(n_{d}, 0) AS n_{d}" for d in (*_DIMS, "required"))
+    return f"""SELECT *, CASE WHEN score >= 80 THEN 'Aplicar' WHEN score >= 50 THEN 'Avaliar' ELSE 'Ignorar' END AS classification FROM (
+        SELECT *, {_CLIP} AS score FROM (
+        SELECT *, CASE WHEN total_weight > 0 THEN 100.0 * ({_EARNED}) / total_weight ELSE 0.0 END
+            + 20.0 * coalesce(required_share, 0) - 25.0 * unwanted_hits AS raw FROM (
+        SELECT profile_id, job_id, unwanted_hits, n_required, n_technology, m_required, m_technology, n_role, n_seniority, n_modality, n_location,
+            CAST({_TOTAL} AS DOUBLE) AS total_weight, {', '.join(_share(d) for d in (*_DIMS, 'required'))} FROM (
+        SELECT * EXCLUDE ({', '.join(f"n_{d}" for d in (*_DIMS, 'required'))}), {wishes} FROM (
+        SELECT profile_id, job_id, count_if(coalesce(dimension, '') = 'unwanted') AS unwanted_hits, {counts}
+        FROM {pairs} GROUP BY profile_id, job_id) LEFT JOIN N USING (profile_id)))))"""
+
+
 CTES: dict[str, str] = {
     "S": """SELECT CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS source_id,
         'Fonte ' || source AS name, source AS label,
@@ -133,38 +149,45 @@ CTES: dict[str, str] = {
         OR (dimension = 'unwanted' AND action = 'penalize')""",
     "D1": "SELECT job_id, first_value(job_id) OVER (PARTITION BY canonical_url ORDER BY posted_at NULLS LAST, job_id) AS kept FROM J WHERE canonical_url IS NOT NULL",
     "D2": "SELECT job_id, first_value(job_id) OVER (PARTITION BY company, title, location ORDER BY posted_at NULLS LAST, job_id) AS kept FROM J WHERE company IS NOT NULL",
-    "A": f"""SELECT *, CASE WHEN score >= 80 THEN 'Aplicar' WHEN score >= 50 THEN 'Avaliar' ELSE 'Ignorar' END AS classification FROM (
-        SELECT *, {_CLIP} AS score FROM (
-        SELECT *, CASE WHEN total_weight > 0 THEN 100.0 * ({_EARNED}) / total_weight ELSE 0.0 END
-            + 20.0 * coalesce(required_share, 0) - 25.0 * unwanted_hits AS raw FROM (
-        SELECT profile_id, job_id, unwanted_hits, n_required, n_technology, m_required, m_technology, n_role, n_seniority, n_modality, n_location,
-            CAST({_TOTAL} AS DOUBLE) AS total_weight, {', '.join(_share(d) for d in (*_DIMS, 'required'))} FROM (
-        SELECT profile_id, job_id, count_if(dimension = 'unwanted') AS unwanted_hits, {', '.join(f"count_if(dimension = '{d}') AS m_{d}" for d in (*_DIMS, 'required'))}
-        FROM H GROUP BY profile_id, job_id) JOIN N USING (profile_id))))""",
-    "G": """SELECT A.* FROM A JOIN P USING (profile_id) WHERE A.score >= P.min_score""",
+    "A": _scored("H"),
+    # Every pair worth a look, for all profiles alike.
+    "G": """SELECT * FROM A WHERE score >= 50""",
+    # A given list of pairs, with those that share no term.
+    "PL": "SELECT DISTINCT o_custkey AS profile_id, 'j' || l_partkey AS job_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN J ON k = l_partkey",
+    "AP": _scored("PL LEFT JOIN H USING (profile_id, job_id)"),
+    "GU": "SELECT * FROM G UNION SELECT * FROM AP",
     "I": f"""SELECT profile_id, job_id, string_agg(reason, '; ' ORDER BY reason) AS reasons FROM (
-        SELECT DISTINCT G.profile_id, G.job_id, 'term: ' || T.term_norm AS reason FROM G JOIN T ON T.profile_id = G.profile_id
+        SELECT DISTINCT G.profile_id, G.job_id, 'term: ' || T.term_norm AS reason FROM GU AS G JOIN T ON T.profile_id = G.profile_id
             AND (dimension = 'area' OR (dimension = 'unwanted' AND action = 'discard')) JOIN F ON F.job_id = G.job_id AND F.kind = 'term' AND F.term = T.term_norm
-        UNION ALL SELECT G.profile_id, G.job_id, 'company: ' || T.term_norm FROM G JOIN J USING (job_id) JOIN T ON T.profile_id = G.profile_id
+        UNION ALL SELECT G.profile_id, G.job_id, 'company: ' || T.term_norm FROM GU AS G JOIN J USING (job_id) JOIN T ON T.profile_id = G.profile_id
             AND dimension = 'company' AND T.term_norm = {_term('company')}
-        UNION ALL SELECT G.profile_id, G.job_id, 'contract: ' || {_term('contract')} FROM G JOIN J USING (job_id) JOIN P USING (profile_id)
+        UNION ALL SELECT G.profile_id, G.job_id, 'contract: ' || {_term('contract')} FROM GU AS G JOIN J USING (job_id) JOIN P USING (profile_id)
             WHERE contract IS NOT NULL AND len(contract_types) > 0 AND NOT list_contains(contract_types, contract))
         GROUP BY profile_id, job_id""",
     "Q": f"""SELECT G.*, J.posted_at, J.modality, J.company, J.title, J.url, J.source_id, J.url IS NULL AS is_failed,
-        coalesce(CASE WHEN D1.kept <> J.job_id THEN D1.kept END, CASE WHEN D2.kept <> J.job_id THEN D2.kept END) AS dup_of,
-        date_diff('day', J.posted_at, DATE '{AS_OF}') AS age_days,
-        coalesce(date_diff('day', J.posted_at, DATE '{AS_OF}') > coalesce(P.max_age_days, 30), false) AS stale,
+        nullif(coalesce(DG.head, J.job_id), J.job_id) AS dup_of,
+        date_diff('day', coalesce(DG.newest, J.posted_at), DATE '{AS_OF}') AS age_days,
+        coalesce(date_diff('day', coalesce(DG.newest, J.posted_at), DATE '{AS_OF}') > coalesce(P.max_age_days, 30), false) AS stale,
         I.reasons AS incompatible, P.material_lang, P.version, P.min_score
-        FROM G JOIN J USING (job_id) JOIN P USING (profile_id) LEFT JOIN D1 USING (job_id) LEFT JOIN D2 USING (job_id)
+        FROM GU AS G JOIN J USING (job_id) JOIN P USING (profile_id) LEFT JOIN DG USING (job_id)
         LEFT JOIN I USING (profile_id, job_id)""",
-    "Z": """SELECT *, CASE WHEN is_failed THEN 'extraction_failed' WHEN dup_of IS NOT NULL THEN 'duplicate' WHEN stale THEN 'stale'
+    # Groups over duplicate links of either kind, with the posting each shows and its newest date.
+    "DG": """SELECT job_id, first_value(job_id) OVER (PARTITION BY grp ORDER BY (url IS NULL), posted_at NULLS LAST, job_id) AS head,
+        max(posted_at) OVER (PARTITION BY grp) AS newest FROM J JOIN (
+        WITH RECURSIVE pair AS (SELECT job_id AS a, kept AS b FROM D1 WHERE kept <> job_id UNION SELECT job_id, kept FROM D2 WHERE kept <> job_id),
+        tie AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+        got(id, other) AS (SELECT a, a FROM tie UNION SELECT r.id, l.b FROM got r JOIN tie l ON l.a = r.other)
+        SELECT id AS job_id, min(other) AS grp FROM got GROUP BY id) USING (job_id)""",
+    "ZU": """SELECT *, CASE WHEN is_failed THEN 'extraction_failed' WHEN dup_of IS NOT NULL THEN 'duplicate' WHEN stale THEN 'stale'
         WHEN incompatible IS NOT NULL THEN 'incompatible' ELSE 'active' END AS status FROM Q""",
-    "B": """SELECT profile_id, job_id, company, title, posted_at, score, classification, S.name AS source, url, modality
+    "Z": "SELECT * FROM ZU WHERE score >= 50",
+    "ZP": "SELECT ZU.* FROM ZU JOIN PL USING (profile_id, job_id)",
+    "B": """SELECT profile_id, job_id, company, title, posted_at, score, classification, S.name AS source, url, modality, min_score
         FROM Z LEFT JOIN S USING (source_id) WHERE Z.status = 'active'""",
     "STR": """SELECT profile_id, job_id, string_agg(dimension || ': ' || term_norm, '; ' ORDER BY dimension || ': ' || term_norm) AS strengths
         FROM H WHERE dimension <> 'unwanted' GROUP BY profile_id, job_id""",
     "GAP": """SELECT G.profile_id, G.job_id, string_agg(T.dimension || ': ' || T.term_norm, '; ' ORDER BY T.dimension || ': ' || T.term_norm) AS gaps
-        FROM G JOIN T ON T.profile_id = G.profile_id AND (dimension IN ('technology', 'required') OR (dimension = 'role' AND role_share = 0)
+        FROM GU AS G JOIN T ON T.profile_id = G.profile_id AND (dimension IN ('technology', 'required') OR (dimension = 'role' AND role_share = 0)
             OR (dimension = 'seniority' AND seniority_share = 0) OR (dimension = 'modality' AND modality_share = 0) OR (dimension = 'location' AND location_share = 0))
         LEFT JOIN H ON H.profile_id = G.profile_id AND H.job_id = G.job_id AND H.dimension = T.dimension AND H.term_norm = T.term_norm
         WHERE H.job_id IS NULL GROUP BY G.profile_id, G.job_id""",
@@ -175,7 +198,7 @@ CTES: dict[str, str] = {
         CASE WHEN n_modality > 0 THEN CASE WHEN modality_share > 0 THEN 'modalidade compatível' ELSE 'modalidade não compatível' END END,
         CASE WHEN n_location > 0 THEN CASE WHEN location_share > 0 THEN 'localização compatível' ELSE 'localização não compatível' END END,
         CASE WHEN n_required > 0 THEN 'termos obrigatórios ' || m_required || '/' || n_required END,
-        CASE WHEN unwanted_hits > 0 THEN 'termos indesejados ' || unwanted_hits END), ''), 'sem preferências') || '.' AS reason FROM G""",
+        CASE WHEN unwanted_hits > 0 THEN 'termos indesejados ' || unwanted_hits END), ''), 'sem preferências') || '.' AS reason FROM GU""",
     "E": f"""SELECT profile_id, kind, name, {_term('name')} AS name_norm, level, kind || ':' || {_term('name')} AS fact_id,
         'Uso de ' || name || ' em projetos reais' AS evidence FROM (
         SELECT c_custkey AS profile_id, 'skill' AS kind, {_a('c_custkey // 2')} AS name, 'Avançado' AS level FROM customer
@@ -185,7 +208,7 @@ CTES: dict[str, str] = {
         UNION ALL SELECT c_custkey, 'education', 'Graduação', NULL FROM customer WHERE c_custkey % 13 <> 0
         UNION ALL SELECT c_custkey, 'certification', 'Certificação ' || c_nationkey, NULL FROM customer
         UNION ALL SELECT c_custkey, 'language', 'Português', 'Nativo' FROM customer)""",
-    "R": """SELECT Z.* FROM Z WHERE score >= 80 AND profile_id % 10 <> 0 AND profile_id % 9 <> 0 AND profile_id % 13 <> 0""",
+    "R": """SELECT Z.* FROM Z WHERE score >= 80 AND status = 'active' AND profile_id % 10 <> 0 AND profile_id % 9 <> 0 AND profile_id % 13 <> 0""",
     "K": """SELECT R.profile_id, R.job_id, E.fact_id, E.name, E.level, E.evidence,
         row_number() OVER (PARTITION BY R.profile_id, R.job_id ORDER BY E.fact_id) AS position
         FROM R JOIN E USING (profile_id) JOIN F ON F.job_id = R.job_id AND F.kind = 'term' AND F.term = E.name_norm""",
@@ -350,7 +373,7 @@ oracle("cln4_dup_groups", f"""WITH RECURSIVE {_NEAR}, edge AS MATERIALIZED (
     reach(id, other) AS (SELECT a, a FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON l.a = r.other)
     SELECT id, min(other) AS group_id FROM reach GROUP BY id""")
 oracle("cln5_flag_stale", "SELECT profile_id, job_id, CAST(coalesce(age_days, -1) AS INT) AS age_days, stale FROM Z")
-oracle("cln6_flag_incompatible", "SELECT profile_id, job_id, reasons FROM I")
+oracle("cln6_flag_incompatible", "SELECT profile_id, job_id, incompatible AS reasons FROM Z WHERE incompatible IS NOT NULL")
 oracle("cln7_flag_failed", """SELECT job_id, concat_ws('; ', CASE WHEN company IS NULL THEN 'company' END, 'url',
     CASE WHEN posted_at IS NULL THEN 'posted_at' END) AS missing FROM J WHERE url IS NULL""")
 oracle("cln8_resolve_status", """SELECT profile_id, job_id, status, concat_ws('; ', CASE WHEN is_failed THEN 'extraction_failed' END,
@@ -362,25 +385,25 @@ oracle("cln10_lineage_summary", f"""SELECT group_id, min(received_at) AS first_s
     count(DISTINCT message_id) AS n_messages FROM ({_LINE}) l GROUP BY group_id""")
 
 oracle("scr1_candidate_pairs", """SELECT profile_id, count(*) AS n_pairs, min(job_id) AS first_job, max(job_id) AS last_job
-    FROM (SELECT DISTINCT profile_id, job_id FROM H WHERE dimension <> 'unwanted') GROUP BY profile_id""")
+    FROM G GROUP BY profile_id""")
 for _n, _dim in enumerate((*_DIMS, "required"), start=2):
-    oracle(f"scr{_n}_{_dim}_share", f"SELECT profile_id, job_id, {_dim}_share FROM G")
-oracle("scr8_unwanted_hits", "SELECT profile_id, job_id, unwanted_hits FROM G")
-oracle("scr9_total_score", "SELECT profile_id, job_id, score FROM G")
+    oracle(f"scr{_n}_{_dim}_share", f"SELECT profile_id, job_id, {_dim}_share FROM AP")
+oracle("scr8_unwanted_hits", "SELECT profile_id, job_id, unwanted_hits FROM AP")
+oracle("scr9_total_score", "SELECT profile_id, job_id, score FROM AP")
 _POINTS = " UNION ALL ".join(
-    [f"SELECT profile_id, job_id, '{d}' AS dimension, 100.0 * (CAST({_WEIGHT[d]} AS DOUBLE) * {d}_share) / total_weight AS points FROM G WHERE n_{d} > 0" for d in _DIMS]
-    + ["SELECT profile_id, job_id, 'required', CAST(20.0 AS DOUBLE) * required_share FROM G WHERE n_required > 0",
-       "SELECT profile_id, job_id, 'unwanted', CAST(-25.0 AS DOUBLE) * unwanted_hits FROM G WHERE unwanted_hits > 0"])
+    [f"SELECT profile_id, job_id, '{d}' AS dimension, 100.0 * (CAST({_WEIGHT[d]} AS DOUBLE) * {d}_share) / total_weight AS points FROM AP WHERE n_{d} > 0" for d in _DIMS]
+    + ["SELECT profile_id, job_id, 'required', CAST(20.0 AS DOUBLE) * required_share FROM AP WHERE n_required > 0",
+       "SELECT profile_id, job_id, 'unwanted', CAST(-25.0 AS DOUBLE) * unwanted_hits FROM AP WHERE unwanted_hits > 0"])
 oracle("scr10_score_breakdown", f"""SELECT b.profile_id, b.job_id, b.dimension, b.points, coalesce(h.evidence, '') AS evidence FROM ({_POINTS}) b
     LEFT JOIN (SELECT profile_id, job_id, dimension, string_agg(term_norm, '; ' ORDER BY term_norm) AS evidence FROM H GROUP BY ALL) h
     ON h.profile_id = b.profile_id AND h.job_id = b.job_id AND h.dimension = b.dimension""")
-oracle("scr11_strengths", "SELECT G.profile_id, G.job_id, coalesce(strengths, '') AS strengths FROM G LEFT JOIN STR ON STR.profile_id = G.profile_id AND STR.job_id = G.job_id")
-oracle("scr12_gaps", "SELECT G.profile_id, G.job_id, coalesce(gaps, '') AS gaps FROM G LEFT JOIN GAP ON GAP.profile_id = G.profile_id AND GAP.job_id = G.job_id")
-oracle("scr13_reason", "SELECT profile_id, job_id, reason FROM RSN")
-oracle("scr14_classify", "SELECT profile_id, job_id, classification FROM G")
+oracle("scr11_strengths", "SELECT G.profile_id, G.job_id, coalesce(strengths, '') AS strengths FROM AP G LEFT JOIN STR ON STR.profile_id = G.profile_id AND STR.job_id = G.job_id")
+oracle("scr12_gaps", "SELECT G.profile_id, G.job_id, coalesce(gaps, '') AS gaps FROM AP G LEFT JOIN GAP ON GAP.profile_id = G.profile_id AND GAP.job_id = G.job_id")
+oracle("scr13_reason", "SELECT profile_id, job_id, reason FROM RSN JOIN PL USING (profile_id, job_id)")
+oracle("scr14_classify", "SELECT profile_id, job_id, classification FROM AP")
 oracle("scr15_rank_jobs", """SELECT profile_id, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, posted_at DESC NULLS LAST, job_id) AS INT) AS rank,
-    job_id, posted_at, score, classification FROM Z QUALIFY rank <= 20""")
-oracle("scr16_stale_pairs", "SELECT profile_id, version, job_id FROM Z WHERE score < 70 OR score >= 90")
+    job_id, posted_at, score, classification FROM Z WHERE status = 'active' QUALIFY rank <= 20""")
+oracle("scr16_stale_pairs", "SELECT profile_id, version, job_id FROM ZP WHERE score < 70 OR score >= 90")
 
 _MAIN = "profile_id, job_id, company, title, posted_at, score, classification, source, url"
 for _key, _where in (
@@ -389,12 +412,14 @@ for _key, _where in (
     ("dsh4_modality", "modality IN ('Remoto', 'Híbrido')"), ("dsh5_company", "company IN ('Brand#7', 'Brand#11')"),
     ("dsh6_source", "source IN ('Fonte src4', 'Fonte src7')"), ("dsh7_class", "classification = 'Aplicar'"),
 ):
-    oracle(_key, f"SELECT {_MAIN} FROM B WHERE {_where}")
+    oracle(_key, f"SELECT {_MAIN} FROM B WHERE score >= coalesce({'0' if _key == 'dsh2_min_score' else 'min_score'}, 0) AND {_where}" if _key != "dsh1_job_list" else f"SELECT {_MAIN} FROM B")
+oracle("dsh7_class_ignored", f"""SELECT profile_id, job_id, company, title, posted_at, score, classification, S.name AS source, url
+    FROM ZP LEFT JOIN S USING (source_id) WHERE ZP.status = 'active' AND classification = 'Ignorar'""")
 oracle("dsh8_job_detail", r"""SELECT Z.profile_id, Z.job_id, Z.title, Z.company, J.location, S.name AS source, Z.url,
     CASE WHEN length(description) <= 40 THEN description WHEN regexp_extract(substr(description, 1, 40), '(?s)^(.*[.!?])', 1) <> ''
         THEN regexp_extract(substr(description, 1, 40), '(?s)^(.*[.!?])', 1) ELSE substr(description, 1, 40) END AS summary,
     Z.score, Z.classification, coalesce(strengths, '') AS strengths, coalesce(gaps, '') AS gaps, reason, k.draft_kinds
-    FROM Z JOIN J ON J.job_id = Z.job_id LEFT JOIN S ON S.source_id = Z.source_id
+    FROM ZP Z JOIN J ON J.job_id = Z.job_id LEFT JOIN S ON S.source_id = Z.source_id
     LEFT JOIN STR ON STR.profile_id = Z.profile_id AND STR.job_id = Z.job_id LEFT JOIN GAP ON GAP.profile_id = Z.profile_id AND GAP.job_id = Z.job_id
     JOIN RSN ON RSN.profile_id = Z.profile_id AND RSN.job_id = Z.job_id
     LEFT JOIN (SELECT profile_id, job_id, string_agg(kind, '; ' ORDER BY kind) AS draft_kinds FROM DR GROUP BY profile_id, job_id) k
@@ -404,7 +429,7 @@ oracle("dsh9_facet_counts", " UNION ALL ".join(
 ) + """ UNION ALL SELECT 'technology', term, count(*) FROM (SELECT DISTINCT B.profile_id, B.job_id, X.term FROM B JOIN X ON X.job_id = B.job_id
     WHERE X.term IN (SELECT term_norm FROM T WHERE dimension = 'technology')) GROUP BY term""")
 
-oracle("mat1_eligible", "SELECT profile_id, job_id, score FROM Z WHERE score >= 80")
+oracle("mat1_eligible", "SELECT profile_id, job_id, score FROM Z WHERE score >= 80 AND status = 'active'")
 oracle("mat2_ready", "SELECT profile_id, job_id FROM R")
 oracle("mat3_match_evidence", "SELECT profile_id, job_id, fact_id, name, level FROM K")
 for _key, _kind in (("mat4_tailored_cv", "cv"), ("mat5_cover_letter", "letter"), ("mat6_strategic_summary", "summary")):
@@ -420,6 +445,7 @@ oracle("ops2_funnel", """SELECT m.label, m.n_collected, coalesce(x.n, 0) AS n_ex
     coalesce(z.n_aplicar, 0) AS n_aplicar, coalesce(z.n_avaliar, 0) AS n_avaliar, coalesce(z.n_ignorar, 0) AS n_ignorar
     FROM (SELECT label, count(*) AS n_collected, CAST(sum(n_jobs) AS BIGINT) AS n FROM MS GROUP BY label) m
     JOIN (SELECT label, CAST(sum(n_jobs) AS BIGINT) AS n FROM MS GROUP BY label) x ON x.label = m.label
-    LEFT JOIN (SELECT 'src' || source_id AS label, count(*) AS n_scored, count_if(status = 'active') AS n_active,
+    LEFT JOIN (SELECT 'src' || J.source_id AS label, count(Z.job_id) AS n_scored, count_if(status = 'active') AS n_active,
         count_if(status = 'active' AND classification = 'Aplicar') AS n_aplicar, count_if(status = 'active' AND classification = 'Avaliar') AS n_avaliar,
-        count_if(status = 'active' AND classification = 'Ignorar') AS n_ignorar FROM Z GROUP BY source_id) z ON z.label = m.label""")
+        count(DISTINCT J.job_id) * (SELECT count(*) FROM P) - count(Z.job_id) AS n_ignorar FROM J LEFT JOIN Z ON Z.job_id = J.job_id
+        GROUP BY J.source_id) z ON z.label = m.label""")

@@ -75,6 +75,21 @@ def triaged(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def listed(spark: SparkSession, d: str) -> DataFrame:
+    """Triaged pairs of a given list, of all classes: who ordered a part is paired with it as a posting."""
+
+    def build() -> DataFrame:
+        orders, lines = V.table(spark, d, "orders"), V.table(spark, d, "lineitem")
+        pairs = (
+            lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+            .select(F.col("o_custkey").alias("profile_id"), F.concat(F.lit("j"), "l_partkey").alias("job_id"))
+            .distinct()
+        )
+        return stage(triage.triaged_pairs(inputs(spark, d), pairs, as_of()), "listed")
+
+    return _once(spark, d, "listed", build)
+
+
 def explained(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
     """Triaged pairs with what their explanation is built from."""
     return triage.explainable(inputs(spark, d), triaged(spark, d) if pairs is None else pairs)
@@ -408,20 +423,10 @@ def cln3_near_dup_pairs(spark, d):
 @query
 def cln4_dup_groups(spark, d):
     """Groups over links by address, by content and by near-equal text."""
-    flagged = V.jobs(spark, d).withColumns(
-        {"canonical_url": canonical_url(F.col("url"))}
-        | {c: norm(F.col(c)) for c in ("company", "title", "location")}
-    )
-    links = [
-        C.dup_by_key(flagged, keys).where("dup_of is not null").select(
-            F.col("job_id").alias("id_a"), F.col("dup_of").alias("id_b")
-        )
-        for keys in (["canonical_url"], ["company", "title", "location"])
-    ]
     texts = _near(spark, d).select(
         F.concat(F.lit("d"), "id_a").alias("id_a"), F.concat(F.lit("d"), "id_b").alias("id_b")
     )
-    return dup_groups(links[0].union(links[1]).union(texts))
+    return dup_groups(C.duplicate_links(V.jobs(spark, d)).union(texts))
 
 
 @query
@@ -464,7 +469,7 @@ def _lineage(spark, d):
         docs.select(F.md5("raw_text").alias("text_key"), "message_id"), ["text_key"], [F.col("message_id")]
     ).withColumnRenamed("message_id", "group_id")
     texts = docs.select(F.md5("raw_text").alias("text_key"), F.col("message_id").alias("job_id"))
-    members = lookup(texts, first, ["text_key"], F.col("job_id"))
+    members = lookup(texts, first, ["text_key"])
     mentions = docs.select(F.col("message_id").alias("job_id"), "message_id", "received_at")
     return C.job_lineage(members.select("job_id", "group_id"), mentions)
 
@@ -484,9 +489,8 @@ def cln10_lineage_summary(spark, d):
 
 @query
 def scr1_candidate_pairs(spark, d):
-    """All pairs sharing a positive term, counted per profile with their first and last id."""
-    zero = F.lit(0.0)
-    found = S.with_shares(triage.candidates(inputs(spark, d), zero))
+    """Pairs found from the review cut-off on, counted per profile with their first and last id."""
+    found = triage.score(inputs(spark, d), triage.review_threshold())
     return found.groupBy("profile_id").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.min("job_id").alias("first_job"), F.max("job_id").alias("last_job")
     )
@@ -494,7 +498,7 @@ def scr1_candidate_pairs(spark, d):
 
 def _share_query(number: int, dimension: str) -> None:
     def run(spark, d):
-        return triaged(spark, d).select("profile_id", "job_id", f"{dimension}_share")
+        return listed(spark, d).select("profile_id", "job_id", f"{dimension}_share")
 
     QUERIES[f"scr{number}_{dimension}_share"] = run
 
@@ -505,54 +509,54 @@ for _n, _d in enumerate(("role", "technology", "seniority", "modality", "locatio
 
 @query
 def scr8_unwanted_hits(spark, d):
-    return triaged(spark, d).select("profile_id", "job_id", F.col("unwanted_hits").cast("long").alias("unwanted_hits"))
+    return listed(spark, d).select("profile_id", "job_id", F.col("unwanted_hits").cast("long").alias("unwanted_hits"))
 
 
 @query
 def scr9_total_score(spark, d):
-    return triage.score(inputs(spark, d)).select("profile_id", "job_id", "score")
+    return listed(spark, d).select("profile_id", "job_id", "score")
 
 
 @query
 def scr10_score_breakdown(spark, d):
-    return S.score_breakdown(explained(spark, d)).select(
+    return S.score_breakdown(explained(spark, d, listed(spark, d))).select(
         "profile_id", "job_id", "dimension", "points", joined("evidence").alias("evidence")
     )
 
 
 @query
 def scr11_strengths(spark, d):
-    return explained(spark, d).select("profile_id", "job_id", joined(S.strengths()).alias("strengths"))
+    return explained(spark, d, listed(spark, d)).select("profile_id", "job_id", joined(S.strengths()).alias("strengths"))
 
 
 @query
 def scr12_gaps(spark, d):
-    return explained(spark, d).select("profile_id", "job_id", joined(S.gaps()).alias("gaps"))
+    return explained(spark, d, listed(spark, d)).select("profile_id", "job_id", joined(S.gaps()).alias("gaps"))
 
 
 @query
 def scr13_reason(spark, d):
-    return explained(spark, d).select("profile_id", "job_id", S.reason().alias("reason"))
+    return explained(spark, d, listed(spark, d)).select("profile_id", "job_id", S.reason().alias("reason"))
 
 
 @query
 def scr14_classify(spark, d):
-    return triaged(spark, d).select("profile_id", "job_id", "classification")
+    return listed(spark, d).select("profile_id", "job_id", "classification")
 
 
 @query
 def scr15_rank_jobs(spark, d):
-    return triage.top_jobs(inputs(spark, d), TOP_K)
+    return triage.top_jobs(triaged(spark, d), TOP_K)
 
 
 @query
 def scr16_stale_pairs(spark, d):
     """Pairs to score again after some profiles changed and newer postings came in."""
-    done = S.analyses(explained(spark, d), F.lit("2001-09-01 00:00:00"))
+    done = S.analyses(explained(spark, d, listed(spark, d)), F.lit("2001-09-01 00:00:00"))
     known = done.where("score >= 70").withColumn(
         "profile_version", F.when(F.col("score") >= 90, F.col("profile_version") - 1).otherwise(F.col("profile_version"))
     )
-    return S.stale_pairs(triaged(spark, d), known).select("profile_id", "version", "job_id")
+    return S.stale_pairs(listed(spark, d), known).select("profile_id", "version", "job_id")
 
 
 # --- lists and detail
@@ -600,11 +604,18 @@ def dsh7_class(spark, d):
     return B.filter_list(_list(spark, d), classes=["Aplicar"]).select(*_MAIN)
 
 
+@query
+def dsh7_class_ignored(spark, d):
+    """The class below the review cut-off, among listed pairs."""
+    shown = B.job_list(listed(spark, d), V.jobs(spark, d), V.sources(spark, d))
+    return B.filter_list(shown, min_score=0, classes=["Ignorar"]).select(*_MAIN)
+
+
 @query
 def dsh8_job_detail(spark, d):
     summaries = V.jobs(spark, d).select("job_id", summarise(F.col("description"), 40).alias("summary"))
     detail = B.job_detail(
-        explained(spark, d), V.jobs(spark, d), V.sources(spark, d), summaries, _materials(spark, d)
+        explained(spark, d, listed(spark, d)), V.jobs(spark, d), V.sources(spark, d), summaries, _materials(spark, d)
     )
     return detail.select(
         "profile_id", "job_id", "title", "company", "location", "source", "url", "summary", "score",
@@ -721,4 +732,4 @@ def ops1_failure_report(spark, d):
 def ops2_funnel(spark, d):
     mailbox, extracted, _ = _extracted(spark, d)
     label = V.jobs(spark, d).select("job_id", F.concat(F.lit("src"), "source_id").alias("label"))
-    return O.funnel(mailbox, extracted, triaged(spark, d), label)
+    return O.funnel(mailbox, extracted, triaged(spark, d), label, V.profiles(spark, d).count())

@@ -25,7 +25,7 @@ def test_salted_join_equals_plain_join_when_one_key_dominates(spark, monkeypatch
 def test_lookup_keeps_null_and_unknown_keys(spark):
     a = spark.createDataFrame([(i, ["x", None, "y"][i % 3]) for i in range(30)], "a long, k string")
     t = spark.createDataFrame([("x", 1)], "k string, v int")
-    found = keyed.lookup(a, t, ["k"], F.col("a"), per_cell=2)
+    found = keyed.lookup(a, t, ["k"])
     assert rows(found.select("a", "v")) == rows(a.join(t, "k", "left").select("a", "v"))
 
 
@@ -52,3 +52,17 @@ def test_broadcast_only_within_the_bound(spark):
     hinted = keyed.broadcast_if_bounded(df, 10)._jdf.queryExecution().analyzed().toString()
     plain = keyed.broadcast_if_bounded(df, 9)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in hinted and "ResolvedHint" not in plain
+
+
+def test_no_hot_key_is_left_out_and_huge_counts_do_not_overflow(spark):
+    counts = spark.createDataFrame([(k, 4 * 10**9 + k, 4 * 10**9) for k in range(1500)], "k long, n_left long, n_right long")
+    hot = keyed.hot_keys(counts, ["k"])
+    assert hot.count() == 1500
+    assert hot.where("_left > 0 and _right = 2000000").count() == 1500
+
+
+def test_lookup_reads_its_input_once(spark, tmp_path):
+    spark.range(50).selectExpr("id", "id % 3 as k").write.parquet(str(tmp_path / "rows"))
+    t = spark.createDataFrame([(0, "x")], "k long, v string")
+    plan = keyed.lookup(spark.read.parquet(str(tmp_path / "rows")), t, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1

@@ -165,3 +165,46 @@ def test_terms_match_whole_tokens(spark):
     known = spark.createDataFrame([(t, True) for t in ("full stack", "node.js", "c++", "php", "sao paulo", "stack node.js")],
                                   "term_norm string, is_technology boolean")
     assert T.tag_terms(jobs, known).first()["terms"] == ["c++", "full stack", "node.js", "sao paulo"]
+
+
+def test_long_terms_and_places_match(spark):
+    """Runs are as long as the dictionary's terms: nothing is cut at a number of words."""
+    jobs = [
+        ("a", "Desenvolvedor Full Stack React", "Acme", "São José dos Campos", "Remoto", "https://x.com/a", None),
+        ("b", "Desenvolvedor Full Stack", "Acme", "São José", "", "https://x.com/b", None),
+    ]
+    towns = spark.createDataFrame([("São José dos Campos", "Brasil")], "place string, parent string")
+    people = [(1, {"roles": ["Desenvolvedor Full Stack React"], "locations": ["São José dos Campos"]})]
+    inputs = triage.prepare(spark.createDataFrame(jobs, JOB), preferences(spark, people), towns)
+    scored = triage.score(inputs, triage.review_threshold())
+    assert rows(scored.select("job_id", "score")) == [("a", 100)]
+
+
+@pytest.mark.parametrize("min_score", [None, 90])
+def test_the_lists_minimum_never_cuts_scoring(spark, min_score):
+    """A profile's minimum filters its list; pairs from the review cut-off on are all stored."""
+    jobs = [job("full", description="Sênior, Remoto, Node.js"), job("most", description="Sênior, Remoto"),
+            job("half", description="Pleno, Presencial"), job("none", title="QA", location="Lisboa")]
+    inputs = triage.prepare(spark.createDataFrame(jobs, JOB), preferences(spark, [(1, FULL | {"min_score": min_score})]), places(spark))
+    day = F.to_date(F.lit("2024-01-01"))
+    stored = triage.triaged(inputs, day)
+    assert rows(stored.select("job_id", "score", "classification")) == [
+        ("full", 100, "Aplicar"), ("half", 58, "Avaliar"), ("most", 83, "Aplicar"),
+    ]
+    listed = spark.createDataFrame([(1, j[0]) for j in jobs], "profile_id long, job_id string")
+    every = triage.triaged_pairs(inputs, listed, day)
+    assert rows(every.select("job_id", "classification")) == [
+        ("full", "Aplicar"), ("half", "Avaliar"), ("most", "Aplicar"), ("none", "Ignorar"),
+    ]
+    assert rows(every.where("score >= 50").select("job_id", "score")) == rows(stored.select("job_id", "score"))
+
+
+def test_only_active_pairs_are_ranked_and_drafted(spark):
+    from peneira.operators import drafts as D
+
+    pairs = spark.createDataFrame(
+        [(1, "a", None, 90, "Aplicar", "stale"), (1, "b", None, 85, "Aplicar", "active"), (1, "c", None, 70, "Avaliar", "active")],
+        "profile_id long, job_id string, posted_at date, score int, classification string, status string",
+    )
+    assert [r["job_id"] for r in triage.top_jobs(pairs, 2).orderBy("rank").collect()] == ["b", "c"]
+    assert [r["job_id"] for r in D.eligible(pairs).collect()] == ["b"]
