@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from peneira.config import DEFAULTS, JOB_FIELDS
 from peneira.functions.dates import parse_date
-from peneira.functions.html import html_to_text
+from peneira.functions.html import html_to_text, mail_to_text
 from peneira.functions.links import canonical_url, host
-from peneira.functions.once import computed
+from peneira.functions.once import computed, let
 from peneira.functions.text import collapse_space
 from peneira.operators.keyed import broadcast_if_bounded
 
@@ -63,7 +63,8 @@ RULES: dict[str, dict[str, str]] = {
 def route_parser(messages: DataFrame, sources: DataFrame, rules: Mapping = RULES) -> DataFrame:
     """Messages with the parser their source names; unknown sources use the generic one."""
     known = F.when(F.col("parser").isin(*rules), F.col("parser"))
-    registry = broadcast_if_bounded(sources.select("label", "parser"), MAX_BROADCAST_SOURCES)
+    carried = [c for c in ("source_id",) if c in sources.columns and c not in messages.columns]
+    registry = broadcast_if_bounded(sources.select("label", "parser", *carried), MAX_BROADCAST_SOURCES)
     return messages.join(registry, "label", "left").withColumn(
         "parser", F.coalesce(known, F.lit(GENERIC))
     )
@@ -72,7 +73,7 @@ def route_parser(messages: DataFrame, sources: DataFrame, rules: Mapping = RULES
 def message_text(raw_text: Column, raw_html: Column) -> Column:
     """Text part of a mail, or its HTML as text where the text part is missing or blank."""
     return F.when(F.trim(F.coalesce(raw_text, F.lit(""))) != "", raw_text).otherwise(
-        html_to_text(raw_html)
+        mail_to_text(raw_html)
     )
 
 
@@ -153,8 +154,19 @@ def extract_jobs(
     """
     blocks = split_blocks(route_parser(messages, sources))
     found = extract_fields(blocks).where("title is not null or url is not null")
+    if "source_id" not in found.columns:
+        found = found.withColumn("source_id", F.lit(None).cast("long"))
+    none = F.lit(None).cast("string")
     return (
-        found.withColumn("job_id", F.concat_ws("-", "message_id", "block_no"))
+        found.withColumns(
+            {
+                "lang": language(F.concat_ws(" ", "title", "description")),
+                "technologies": F.lit(None).cast("array<string>"),
+                "seniority": none,
+                "modality": none,
+                "extracted_at": F.col("received_at").cast("timestamp"),
+            }
+        ).withColumn("job_id", F.concat_ws("-", "message_id", "block_no"))
         .withColumn("posted_at", parse_date(F.col("date_text"), F.col("received_at")))
         .withColumn("canonical_url", canonical_url(F.col("url")))
         .withColumn("missing_fields", missing_fields())
@@ -162,21 +174,46 @@ def extract_jobs(
         .select(
             "job_id", "message_id", "block_no", "label", "parser", "title", "company", "location",
             "url", "canonical_url", "description", "posted_at", "missing_fields", "parser_version",
-            "received_at",
+            "received_at", "source_id", "lang", "technologies", "seniority", "modality", "extracted_at",
         )
     )
 
 
+# Frequent short words of each language a posting may be in.
+LANGUAGE_WORDS = {
+    "pt": ("de", "e", "para", "com", "em", "uma", "um", "os", "as", "do", "da", "na", "no", "que", "buscamos", "vaga"),
+    "en": ("the", "of", "and", "to", "in", "for", "with", "on", "is", "we", "you", "a", "at", "our", "this"),
+    "es": ("el", "los", "las", "y", "para", "con", "en", "una", "un", "del", "que", "la", "de", "se", "por"),
+    "fr": ("le", "les", "et", "des", "pour", "dans", "une", "un", "est", "la", "de", "du", "que", "en", "par"),
+    "de": ("der", "die", "und", "das", "mit", "ist", "ein", "eine", "von", "im", "zu", "den", "nicht", "auf", "für"),
+}
+
+
+def _occurring(words: Column, known: tuple[str, ...]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*known)))
+
+
+def language(text: Column) -> Column:
+    """Language whose frequent words make up most of the text; null if none of them occurs."""
+
+    def pick(words: Column) -> Column:
+        counts = [
+            F.struct(_occurring(words, known).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang"))
+            for k, (lang, known) in enumerate(LANGUAGE_WORDS.items())
+        ]
+        return let(F.array_max(F.array(*counts)), lambda best: F.when(best["n"] > 0, best["lang"]))
+
+    return let(F.split(F.lower(text), r"[^\p{L}]+"), pick)
+
+
 def extraction_failures(messages: DataFrame, jobs: DataFrame) -> DataFrame:
     """Messages that gave no posting, with a reason; the raw content stays in the store."""
     empty = (F.trim(F.coalesce("raw_text", F.lit(""))) == "") & (
         F.trim(F.coalesce("raw_html", F.lit(""))) == ""
     )
-    return messages.join(jobs.select("message_id"), "message_id", "left_anti").select(
-        "message_id",
-        "label",
-        F.when(empty, "empty_message").otherwise("no_posting_found").alias("error"),
-    )
+    error = F.when(empty, "empty_message").otherwise("no_posting_found").alias("error")
+    # The reason is found first: bodies stay out of the join.
+    return messages.select("message_id", "label", error).join(jobs.select("message_id"), "message_id", "left_anti")
 
 
 def to_reprocess(

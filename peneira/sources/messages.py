@@ -9,6 +9,9 @@ from peneira.operators.keyed import keep_first
 from peneira.sources.registry import active_sources
 
 
+BODIES = ("raw_text", "raw_html")
+
+
 def append_raw(messages: DataFrame, path: str) -> None:
     """Append messages unchanged.
 
@@ -31,8 +34,10 @@ def drop_seen(new: DataFrame, stored: DataFrame, order: str = "received_at") ->
     Only the id column of the store is read.
     """
     unseen = new.join(stored.select("message_id"), "message_id", "left_anti")
-    ties = [c for c, t in new.dtypes if c not in ("message_id", order) and not t.startswith("map")]
-    return keep_first(unseen, ["message_id"], [F.col(order), *map(F.col, ties)])
+    ties = [c for c, t in new.dtypes if c not in ("message_id", order, *BODIES) and not t.startswith("map")]
+    bodies = F.md5(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in BODIES if c in new.columns]))
+    ranked = unseen.withColumn("_bodies", bodies)
+    return keep_first(ranked, ["message_id"], [F.col(order), *map(F.col, ties), F.col("_bodies")]).drop("_bodies")
 
 
 def message_status(messages: DataFrame, jobs: DataFrame, failures: DataFrame) -> DataFrame:

@@ -39,13 +39,14 @@ def merge_table(
 ) -> None:
     """Replace the rows of ``changed``'s keys in a bucketed table, keeping all others.
 
-    Only buckets that hold a changed key are read and rewritten.
+    Only buckets that hold a changed key are read and rewritten: their numbers, at most
+    ``buckets``, become a filter on the folders.
     """
     spark = changed.sparkSession
     stored = spark.read.parquet(path)
-    touched = changed.select(bucket_of(keys, buckets).alias("bucket")).distinct()
+    touched = [r["bucket"] for r in changed.select(bucket_of(keys, buckets).alias("bucket")).distinct().collect()]
     kept = (
-        stored.join(touched, "bucket", "left_semi")
+        stored.where(F.col("bucket").isin(touched))
         .join(changed.select(*keys), list(keys), "left_anti")
         .drop("bucket")
     )

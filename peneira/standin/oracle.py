@@ -289,6 +289,8 @@ oracle("src5_drop_seen", f"""SELECT message_id, label, received_at, arrival_no F
 oracle("src6_append_raw", "SELECT 'd' || doc_id AS message_id, source AS label, md5(text) AS text_md5 FROM documents")
 oracle("src7_sync_stream", f"""SELECT message_id, label, received_at, arrival_no FROM ({_EVENTS}) e
     QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at, label, arrival_no) = 1""")
+oracle("src7_sync_active_labels", f"""SELECT message_id, label, received_at, arrival_no FROM ({_EVENTS}) e WHERE length(label) % 2 = 0
+    QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at, label, arrival_no) = 1""")
 oracle("src8_message_status", "SELECT message_id, label, n_jobs, status, error FROM MS")
 oracle("src9_sync_summary", """SELECT S.label, S.status AS source_status, max(received_at) AS last_sync_at, count(message_id) AS n_messages,
     CAST(0 AS BIGINT) AS n_new, count_if(MS.status = 'failed') AS n_failed FROM S LEFT JOIN MS ON MS.label = S.label GROUP BY S.label, S.status""")
@@ -403,6 +405,9 @@ oracle("scr13_reason", "SELECT profile_id, job_id, reason FROM RSN JOIN PL USING
 oracle("scr14_classify", "SELECT profile_id, job_id, classification FROM AP")
 oracle("scr15_rank_jobs", """SELECT profile_id, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, posted_at DESC NULLS LAST, job_id) AS INT) AS rank,
     job_id, posted_at, score, classification FROM Z WHERE status = 'active' QUALIFY rank <= 20""")
+# The same over postings read from mails: numbered by message and block, undated ones as of receipt.
+_FROM_MAIL = f"""SELECT * REPLACE (message_id || '-' || block_no AS job_id, coalesce(posted_at, DATE '{AS_OF}') AS posted_at) FROM ({CTES['J']})"""
+ORACLE["scr15_mail_to_ranked"] = ORACLE["scr15_rank_jobs"].replace(f"J AS MATERIALIZED ({CTES['J']})", f"J AS MATERIALIZED ({_FROM_MAIL})")
 oracle("scr16_stale_pairs", "SELECT profile_id, version, job_id FROM ZP WHERE score < 70 OR score >= 90")
 
 _MAIN = "profile_id, job_id, company, title, posted_at, score, classification, source, url"

@@ -181,6 +181,18 @@ def src7_sync_stream(spark, d):
     )
 
 
+@query
+def src7_sync_active_labels(spark, d):
+    """The same with a registry in which some labels are inactive."""
+    arrivals = V.event_messages(spark, d)
+    incoming, store = scratch_path(spark, "incoming"), scratch_path(spark, "store")
+    arrivals.write.parquet(incoming)
+    status = F.when(F.length("label") % 2 == 0, "active").otherwise("inactive").alias("status")
+    registry = stage(arrivals.select("label", status).distinct(), "registry")
+    sync_stream(spark, incoming, store, scratch_path(spark, "stream"), arrivals.schema, sources=registry)
+    return spark.read.schema(arrivals.schema).parquet(store).select("message_id", "label", "received_at", "arrival_no")
+
+
 def _mailbox(spark, d) -> DataFrame:
     """Alert mails together with documents, most of which hold no posting."""
     columns = ("message_id", "label", "received_at", "raw_text", "raw_html")
@@ -549,6 +561,15 @@ def scr15_rank_jobs(spark, d):
     return triage.top_jobs(triaged(spark, d), TOP_K)
 
 
+@query
+def scr15_mail_to_ranked(spark, d):
+    """From raw mails to each profile's best active postings: extraction, cleaning, scoring, ranking."""
+    jobs = stage(E.extract_jobs(V.mails(spark, d), V.sources(spark, d)), "mail-jobs")
+    found = triage.prepare(jobs, V.profiles(spark, d), V.places(spark, d))
+    pairs = stage(triage.triaged(found, as_of()), "mail-triaged")
+    return triage.top_jobs(pairs, TOP_K)
+
+
 @query
 def scr16_stale_pairs(spark, d):
     """Pairs to score again after some profiles changed and newer postings came in."""

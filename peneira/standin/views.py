@@ -280,9 +280,10 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     as_html = (parser == 2) & (F.expr("cast(substr(message_id, 2) as long)") % 2 == 0)
     body = F.array_join("cards", "\n------\n")
+    escaped = F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit("\n"), F.lit("<br/>\n"))
     html = F.concat(
         F.lit("<html><head><style>p{margin:0}</style></head><body><div>"),
-        F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit("\n"), F.lit("<br/>\n")),
+        F.regexp_replace(escaped, r"Link: ([^\s<]+)", '<a class="b" href="$1">Link</a>'),
         F.lit("</div></body></html>"),
     )
     # At most three postings share a message id, so each group is three cards.

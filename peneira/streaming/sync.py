@@ -6,15 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from peneira.sources.messages import append_raw, drop_seen
-
-
-def _stored_ids(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The message store, or an empty one before the first batch."""
-    probe = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = probe.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not files.exists(probe):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+from peneira.sources.registry import active_sources
 
 
 def sync_stream(
@@ -24,16 +16,25 @@ def sync_stream(
     checkpoint: str,
     schema: StructType,
     max_files: int = 1000,
+    sources: DataFrame | None = None,
 ) -> None:
     """Take new files of ``incoming`` into ``store``, each message id once, then stop.
 
+    With ``sources`` only mail of active configured labels is taken in; the registry is read
+    anew for every micro-batch.
+
     Every micro-batch drops ids the store already has before it appends. That holds for a
     message however late it arrives, where a watermark would discard it, needs no state
     that grows with the mail, and makes a batch repeated after a failure add nothing twice.
     """
 
+    # The store exists before the first batch asks it for known ids.
+    append_raw(spark.createDataFrame([], schema), store)
+
     def take_in(batch: DataFrame, _: int) -> None:
-        stored = _stored_ids(batch.sparkSession, store, schema)
+        if sources is not None:
+            batch = batch.join(active_sources(sources).select("label").distinct(), "label", "left_semi").select(*batch.columns)
+        stored = batch.sparkSession.read.schema(schema).parquet(store)
         append_raw(drop_seen(batch, stored), store)
 
     query = (
