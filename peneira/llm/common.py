@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SALT = 20_000
+ROWS_PER_SALT = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

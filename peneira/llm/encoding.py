@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,9 +36,23 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def _packed(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    return np.fromiter(ids, dtype="<u4", count=len(ids)).tobytes()
+class _Memo(dict):
+    """Ids of words, as bytes; a word that is asked for the first time is encoded and kept.
+
+    The words of the generation before are taken over as they come up again.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], older: dict[str, bytes] | None = None):
+        super().__init__()
+        self.encode, self.older = encode, older or {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.encode(word)
+        if len(word) <= MEMO_CHARS and "\n" not in word[1:]:
+            self[word] = found
+        return found
 
 
 class Encoder:
@@ -58,59 +71,63 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.blank = self.letters[32]
+        # Each id as a little-endian unsigned 32-bit integer.
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.memo_words = memo_words
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.older_bare: dict[str, bytes] = {}
+        self.memo = _Memo(self._after_blank)
+        self.bare = _Memo(self._alone)
 
     def _plain(self, text: str) -> bytes:
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _piece(self, word: str, blank: str) -> bytes:
-        """Ids of one word, with the blank before it if one is given; it holds no blank itself.
-
-        Letters alone are a single piece for the model; a mark at their end and a line
-        break between two words are pieces of their own.
+        return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
+
+    def _letters_only(self, word: str, before: str) -> bytes | None:
+        """Ids of a word of letters alone: it is a single piece for the model."""
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) > _LAST_LETTER:
+                return None
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(before + word)])
+
+    def _after_blank(self, word: str) -> bytes:
+        """Ids of a blank and one word; it holds no blank itself.
+
+        A mark at its end and a line break between two words are pieces of their own.
         """
-        if word.isalpha() and max(word) <= _LAST_LETTER:
-            letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            return _packed([t.id for t in self.model.tokenize((self.blank if blank else "") + letters)])
-        if word[-1] in ",." and word[:-1].isalpha() and max(word) <= _LAST_LETTER:
-            return self._known(word[:-1], blank) + self._known(word[-1], "")
+        found = self._letters_only(word, self.blank)
+        if found is not None:
+            return found
+        if word[-1] in ",." and word[:-1].isalpha() and word[-2] <= _LAST_LETTER:
+            return self.memo[word[:-1]] + self.bare[word[-1]]
         before, line, after = word.partition("\n")
         if line and before and after and not before[-1].isspace() and not after[0].isspace():
-            return self._known(before, blank) + self._known(line, "") + self._known(after, "")
-        return self._plain(blank + word)
-
-    def _known(self, word: str, blank: str) -> bytes:
-        """Ids of a word from memory, or newly made and remembered."""
-        memo, older = (self.memo, self.older) if blank else (self.bare, self.older_bare)
-        found = memo.get(word)
-        if found is None:
-            found = older.get(word)
-            if found is None:
-                found = self._piece(word, blank)
-            if len(word) <= MEMO_CHARS and "\n" not in word[1:]:
-                memo[word] = found
-        return found
+            return self.memo[before] + self.bare[line] + self.bare[after]
+        return self._plain(" " + word)
+
+    def _alone(self, word: str) -> bytes:
+        """Ids of a word with nothing before it."""
+        found = self._letters_only(word, "")
+        if found is not None:
+            return found
+        before, line, after = word.partition("\n")
+        if line and before and after and not before[-1].isspace() and not after[0].isspace():
+            return self.bare[before] + self.bare[line] + self.bare[after]
+        return self._plain(word)
 
     def ids(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if len(self.memo) + len(self.bare) > self.memo_words:
-            self.older, self.older_bare, self.memo, self.bare = self.memo, self.bare, {}, {}
+            self.memo, self.bare = _Memo(self._after_blank, dict(self.memo)), _Memo(self._alone, dict(self.bare))
         if _LOOSE.search(text):
             first, *rest = _UNIT.split(text)
             words = [unit[1:] for unit in rest]
         else:
             first, *words = text.split(" ")
-        memo, found = self.memo, []
-        for word in words:
-            known = memo.get(word)
-            found.append(self._known(word, " ") if known is None else known)
-        return (self._known(first, "") if first else b"") + b"".join(found)
+        return (self.bare[first] if first else b"") + b"".join(map(self.memo.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

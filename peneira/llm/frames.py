@@ -31,7 +31,7 @@ WITH_CHECKSUMS = 0x80
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
 LEVEL = 3
 FILE_BYTES = 4 << 20
-PART_BYTES = 16 << 20
+PART_ROWS, MAX_PARTS = 10_000, 20_000
 
 
 def checksum(plain: bytes) -> int:
@@ -80,42 +80,52 @@ class FrameFile:
         return self.plain(k + 1)
 
 
-def encode_frames(docs: DataFrame, end_id: int, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, size, checksum, frame`` per row: ids of the whole text and ``end_id``, compressed where they are made."""
+def encode_frames(docs: DataFrame, end_id: int, bounds: Sequence[float] = (), vocabulary: str = VOCABULARY) -> DataFrame:
+    """``part, doc_id, size, checksum, frame`` per row: ids of the whole text and ``end_id``, compressed where they are made.
+
+    ``part`` is the number of ``bounds`` below the ``doc_id``, 0 for null.
+    """
+    limits = np.array(bounds, dtype=np.float64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = encoder(vocabulary), zstandard.ZstdCompressor(level=LEVEL)
         end = struct.pack("<I", end_id)
         for part, words in texts(batches):
             plain = [own.ids(t) + end for t in words]
+            ids = part.column("doc_id").to_pylist()
+            parts = [0 if d is None else int(np.searchsorted(limits, d)) for d in ids]
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(parts, pa.int32()),
                     part.column("doc_id"),
                     pa.array([len(p) for p in plain], pa.int64()),
                     pa.array([checksum(p) for p in plain], pa.int64()),
                     pa.array([packer.compress(p) for p in plain], pa.binary()),
                 ],
-                ["doc_id", "size", "checksum", "frame"],
+                ["part", "doc_id", "size", "checksum", "frame"],
             )
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return chosen.mapInArrow(encode, "doc_id long, size long, checksum long, frame binary")
+    return chosen.mapInArrow(encode, "part int, doc_id long, size long, checksum long, frame binary")
 
 
 def write_frames(
-    docs: DataFrame, path: str, end_id: int = 0, vocabulary: str = VOCABULARY, file_bytes: int = FILE_BYTES, part_bytes: int = PART_BYTES
+    docs: DataFrame, path: str, end_id: int = 0, vocabulary: str = VOCABULARY, file_bytes: int = FILE_BYTES, part_rows: int = PART_ROWS
 ) -> None:
     """Encode ``docs`` and write them in ascending ``doc_id`` order (null first; rows of one id by content).
 
-    Frames are compressed once and kept in the shared folder; from there rows are cut into
-    ranges of ids. A task assembles files of about ``file_bytes``, so memory is bounded by a
-    file or the longest document. Spark's own text writer commits them: each row is one file
-    without its last byte, and the line separator is that byte.
+    Ranges of ids are cut at quantiles of the ids alone, so each text is read and encoded
+    once; what is shuffled are finished frames. A task assembles files of about
+    ``file_bytes``, so memory is bounded by a file or the longest document. Spark's own text
+    writer commits them: each row is one file without its last byte, and the line separator
+    is that byte.
     """
-    frames = stage(encode_frames(docs, end_id, vocabulary), "frames")
-    total = frames.agg(F.coalesce(F.sum(F.length("frame")), F.lit(0))).first()[0]
-    order = ["doc_id", "checksum", "size"]
-    ranged = frames.repartitionByRange(partitions_for(total, part_bytes), *order).sortWithinPartitions(*order)
+    ids = docs.select(F.col("doc_id").cast("double").alias("doc_id"))
+    parts = min(partitions_for(ids.count(), part_rows), MAX_PARTS)
+    shares = [k / parts for k in range(1, parts)]
+    bounds = ids.approxQuantile("doc_id", shares, 0.2 / parts) if shares else []
+    frames = encode_frames(docs, end_id, bounds, vocabulary)
+    ranged = frames.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "checksum", "size")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -186,7 +186,7 @@ def test_encoder_equals_plain_encoding():
 
 def test_frames_random_access_and_damage(spark, docs):
     path = scratch_path(spark, "frames-test")
-    frames.write_frames(docs, path, file_bytes=64, part_bytes=256)
+    frames.write_frames(docs, path, file_bytes=64, part_rows=4)
     whole = {(r["doc_id"], bytes(r["ids"])) for r in frames.read_frames(spark, path).collect()}
     assert len(whole) == len(set(ROWS))
     some = frames.read_documents(spark, path, spark.createDataFrame([(4,), (9,), (77,)], "doc_id long"))
