@@ -32,7 +32,6 @@ def shingle_set(text, n=5):
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
 def test_pairs_equal_brute_force(spark, monkeypatch, threshold):
     monkeypatch.setattr(keyed, "ROWS_PER_CELL", 3)
-    monkeypatch.setattr(similarity, "N_COMMON", 5)
     docs = corpus(int(threshold * 10))
     leaders = {}
     for i, t in docs:
