@@ -191,11 +191,12 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = digest) -> DataF
         .groupBy(F.col("_digest").alias("_of"), F.col("doc_id").alias("_id"))
         .agg(F.count(F.lit(1)).alias("_same"))
     )
+    # Each row travels once, inside its struct.
     rows = ledger.marked(docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    left = rows.join(stays, (F.col("_digest") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    left = rows.drop("text").join(stays, (F.col("_digest") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     once = left.where("_same = 1")
     # Rows that repeat id and text: only they are compared with each other.
-    several = keep_first(left.where("_same > 1"), ["_of", "_id"], [F.desc("_points"), F.col("text")])
+    several = keep_first(left.where("_same > 1"), ["_of", "_id"], [F.desc("_points"), F.col("_row.text")])
     return once.unionByName(several).select("_row.*")
 
 
