@@ -57,6 +57,22 @@ def score(inputs: Inputs, threshold: Column, settings: Settings = DEFAULTS) -> D
     return S.score_candidates(candidates(inputs, threshold, settings), threshold, settings)
 
 
+def rescore(
+    inputs: Inputs, changed: DataFrame, new: DataFrame, threshold: Column, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Pairs that a change touches: changed profiles with all postings, the others with new postings.
+
+    ``changed`` holds ``profile_id``, ``new`` holds ``job_id``. Both sides are cut before they
+    meet, so neither old pairs nor the stored triage are read.
+    """
+    touched = stage(inputs.profiles.join(changed.select("profile_id"), "profile_id", "left_semi"), "changed-profiles")
+    others = stage(inputs.profiles.join(changed.select("profile_id"), "profile_id", "left_anti"), "other-profiles")
+    fresh = stage(inputs.postings.join(new.select("job_id"), "job_id", "left_semi"), "new-postings")
+    whole = Inputs(inputs.postings, touched, inputs.counts)
+    added = Inputs(fresh, others, S.feature_counts(fresh))
+    return score(whole, threshold, settings).unionByName(score(added, threshold, settings))
+
+
 def top_jobs(triaged_pairs: DataFrame, k: int) -> DataFrame:
     """Best ``k`` active postings per profile."""
     active = triaged_pairs.where("status = 'active'").select(

@@ -410,6 +410,8 @@ _FROM_MAIL = f"""SELECT * REPLACE (message_id || '-' || block_no AS job_id, coal
 ORACLE["scr15_mail_to_ranked"] = ORACLE["scr15_rank_jobs"].replace(f"J AS MATERIALIZED ({CTES['J']})", f"J AS MATERIALIZED ({_FROM_MAIL})")
 oracle("scr16_stale_pairs", "SELECT profile_id, version, job_id FROM ZP WHERE score < 70 OR score >= 90")
 
+oracle("scr16_rescore", """SELECT G.profile_id, G.job_id, score, classification FROM G JOIN J ON J.job_id = G.job_id JOIN customer ON c_custkey = G.profile_id
+    WHERE CAST(c_acctbal AS DECIMAL(12, 2)) < 0 OR posted_at >= DATE '2001-06-01'""")
 _MAIN = "profile_id, job_id, company, title, posted_at, score, classification, source, url"
 for _key, _where in (
     ("dsh1_job_list", "true"), ("dsh2_min_score", "score >= 85"),

@@ -580,6 +580,15 @@ def scr16_stale_pairs(spark, d):
     return S.stale_pairs(listed(spark, d), known).select("profile_id", "version", "job_id")
 
 
+@query
+def scr16_rescore(spark, d):
+    """Scores touched by a run in which profiles in debt changed and postings of the last months came in."""
+    changed = V.profiles(spark, d).where("salary_expectation < 0")
+    new = V.jobs(spark, d).where(F.col("posted_at") >= F.to_date(F.lit("2001-06-01")))
+    found = triage.rescore(inputs(spark, d), changed, new, triage.review_threshold())
+    return found.select("profile_id", "job_id", "score", "classification")
+
+
 # --- lists and detail
 
 
