@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peneira.functions.text import term_text
+from peneira.operators.extract import language
 
 # The two word lists part names are made of.
 FIRST_WORDS = ("blue", "cold", "hot", "large", "new", "old", "red", "small")
@@ -142,7 +143,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
             url.alias("url"),
             description.alias("description"),
             F.when(F.col("p_size") != 17, F.col("o_orderdate").cast("date")).alias("posted_at"),
-            F.lit("pt").alias("lang"),
+            language(F.concat_ws(" ", "p_name", description)).alias("lang"),
             F.col("o_orderdate").cast("timestamp").alias("extracted_at"),
         )
     )

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from peneira import schemas
 from peneira.operators import extract as E
 
 SOURCES = [(1, "L", "linkedin"), (2, "I", "indeed"), (3, "G", "generic"), (4, "U", "carta")]
@@ -62,3 +63,23 @@ def test_failures_and_reprocessing(mails, jobs):
     due = E.to_reprocess(mails, jobs, failures, version=1)
     assert sorted(r["message_id"] for r in due.collect()) == ["m1", "m3", "m4", "m5", "m6"]
     assert E.to_reprocess(mails, jobs, failures, version=2).count() == 6
+
+
+def test_language_of_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars > 200")
+    found = docs.select("lang", E.language(F.col("text")).alias("found"))
+    assert found.where("lang = found").count() >= 0.9 * found.count()
+    none = spark.createDataFrame([("xyz 123",), (None,), ("",)], "t string")
+    assert [r[0] for r in none.select(E.language(F.col("t"))).collect()] == [None, None, None]
+
+
+def test_links_of_html_mail_are_kept(spark):
+    mail = """<p>Cargo: Dev</p><div><a class="x" href="https://jobs.example.com/1?a=1&amp;b=2">Ver vaga</a></div>"""
+    df = spark.createDataFrame([("m", "l", None, mail)], "message_id string, label string, raw_text string, raw_html string")
+    text = df.select(E.message_text(F.col("raw_text"), F.col("raw_html"))).first()[0]
+    assert "Ver vaga: https://jobs.example.com/1?a=1&b=2" in text
+    sources = spark.createDataFrame([("l", "generic", 7)], "label string, parser string, source_id long")
+    jobs = E.extract_jobs(df.withColumn("received_at", F.lit("2024-01-01").cast("timestamp")), sources)
+    row = jobs.first()
+    assert (row["url"], row["source_id"]) == ("https://jobs.example.com/1?a=1&b=2", 7)
+    schemas.assert_contract(jobs, schemas.JOBS)
