@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from peneira.llm.common import whole_text
 from peneira.llm.encoding import VOCABULARY, encoder, texts
+from peneira.session import stage
 
 LENGTHS_PER_BAND = 4096
 
@@ -34,7 +35,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     too; an empty table gives no rows. Suffix sums are taken inside bands of lengths and
     over the bands' totals, so no task holds all lengths.
     """
-    counted = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Stored: the histogram is small and read twice below, the texts behind it are neither.
+    counted = stage(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
     counted = counted.withColumn("band", F.floor(F.col("n_tokens") / LENGTHS_PER_BAND))
     tokens = F.col("n_tokens") * F.col("n_docs")
     bands = counted.groupBy("band").agg(F.sum("n_docs").alias("docs"), F.sum(tokens).alias("tokens"))
