@@ -10,7 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMO_WORDS = 250_000
+MEMO_WORDS = 500_000
 MEMO_CHARS = 48
 _LOOSE = re.compile(r" (?=\s|\Z)")
 _UNIT = re.compile(r"(?s)(?<=.)(?= \S)")

@@ -29,7 +29,7 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
-LEVEL = 3
+LEVEL = 1
 FILE_BYTES = 4 << 20
 PART_ROWS, MAX_PARTS = 10_000, 20_000
 
@@ -92,12 +92,13 @@ def encode_frames(docs: DataFrame, end_id: int, bounds: Sequence[float] = (), vo
         end = struct.pack("<I", end_id)
         for part, words in texts(batches):
             plain = [own.ids(t) + end for t in words]
-            ids = part.column("doc_id").to_pylist()
-            parts = [0 if d is None else int(np.searchsorted(limits, d)) for d in ids]
+            ids = part.column("doc_id")
+            below = np.searchsorted(limits, ids.fill_null(0).to_numpy(zero_copy_only=False))
+            parts = np.where(ids.is_valid().to_numpy(zero_copy_only=False), below, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(parts, pa.int32()),
-                    part.column("doc_id"),
+                    ids,
                     pa.array([len(p) for p in plain], pa.int64()),
                     pa.array([checksum(p) for p in plain], pa.int64()),
                     pa.array([packer.compress(p) for p in plain], pa.binary()),
