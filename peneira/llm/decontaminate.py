@@ -1,8 +1,7 @@
-"""Training passages that repeat test items: rare n-gram seeds, then local alignment."""
+"""Training passages that repeat test items: n-gram seeds, then local alignment."""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +20,8 @@ SHARE = 0.5
 LEAST_WORDS, ENOUGH_WORDS = 8, 25
 ITEMS_PER_BLOCK = 20_000
 FILTER_BITS = 22
+HITS_PER_STEP = 1 << 16
+WINDOW_WORDS = 1 << 18
 
 
 class Items:
@@ -30,6 +31,7 @@ class Items:
         hashes, bounds = word_hashes(item_texts)
         self.ids = ids
         self.words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.spans = np.array([len(w) for w in self.words], dtype=np.int64)
         grams, owners, places = [], [], []
         for k, words in enumerate(self.words):
             own = ngram_hashes(words, SEED_WORDS)
@@ -44,21 +46,6 @@ class Items:
         self.known = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.known[self.grams >> np.uint64(64 - FILTER_BITS)] = True
 
-    def only_rare(self, counts: dict[int, int]) -> None:
-        """Keep as seeds, per item, the n-grams that occur no more often in the corpus than its median one.
-
-        An item always keeps at least half of its n-grams, however often its copies occur.
-        """
-        often = np.array([counts.get(g, 0) for g in self.grams.tolist()])
-        keep = np.zeros(len(often), dtype=bool)
-        order = np.argsort(self.owners, kind="stable")
-        cuts = np.searchsorted(self.owners[order], np.arange(len(self.ids) + 1))
-        for first, end in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[first:end]
-            if len(own):
-                keep[own] = often[own] <= np.median(often[own])
-        self._set(self.grams[keep], self.owners[keep], self.places[keep])
-
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of ``hashes``' n-grams that are seeds, and the first row of each in ``grams``."""
         grams = ngram_hashes(hashes, SEED_WORDS)
@@ -104,37 +91,64 @@ def align(windows: np.ndarray, widths: np.ndarray, item: np.ndarray) -> tuple[np
     return best, end
 
 
+def reachable(windows: np.ndarray, widths: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """A bound on ``align``'s score of each window: all words of the window that the item has, as often as it has them at most."""
+    own, often = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(own, windows), len(own) - 1)
+    shared = (own[at] == windows) & (np.arange(windows.shape[1]) < widths[:, None])
+    rows, columns = np.nonzero(shared)
+    met = np.bincount(rows * len(own) + at[rows, columns], minlength=len(windows) * len(own)).reshape(len(windows), len(own))
+    return MATCH * np.minimum(met, often).sum(axis=1)
+
+
+def _windows(
+    items: Items, places: np.ndarray, rows: np.ndarray, text: np.ndarray, bounds: np.ndarray
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Each item hit, with the distinct ``text, anchor`` of the windows to align it in; ``rows`` are first rows of n-grams."""
+    if not len(rows):
+        return
+    counts = np.searchsorted(items.grams, items.grams[rows], side="right") - rows
+    starts = np.flatnonzero(np.diff(np.cumsum(counts) // HITS_PER_STEP, prepend=-1))
+    for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+        some = slice(start, stop)
+        count = counts[some]
+        hit = np.repeat(np.arange(len(count)), count)
+        seeds = np.repeat(rows[some], count) + np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
+        owner, k = items.owners[seeds], text[some][hit]
+        anchor = (places[some][hit] - items.places[seeds] - bounds[k]) // items.spans[owner]
+        found = np.unique(np.stack([owner, k, anchor], axis=1), axis=0)
+        cuts = np.flatnonzero(np.diff(found[:, 0], prepend=-1))
+        for first, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)], strict=True):
+            yield int(found[first, 0]), found[first:end, 1:]
+
+
 def _leaks(items: Items, group: list[str]) -> Iterator[tuple[int, int, float, int, int]]:
     """``text, item, score, matched share, end word`` of the best alignment of each text and item that repeats."""
     hashes, bounds = word_hashes(group)
     places, rows = items.hits(hashes)
     text = np.searchsorted(bounds, places, side="right") - 1
     inside = places + SEED_WORDS <= bounds[text + 1]
-    candidates: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for place, row, k in zip(places[inside].tolist(), rows[inside].tolist(), text[inside].tolist(), strict=True):
-        gram = items.grams[row]
-        while row < len(items.grams) and items.grams[row] == gram:
-            item = int(items.owners[row])
-            span = len(items.words[item])
-            candidates[item].add((k, (place - int(items.places[row]) - int(bounds[k])) // span))
-            row += 1
-    for item, windows in candidates.items():
+    for item, found in _windows(items, places[inside], rows[inside], text[inside], bounds):
         words = items.words[item]
         span = len(words)
-        ordered = sorted(windows)
-        for part in range(0, len(ordered), 256):
-            some = ordered[part : part + 256]
+        step = max(1, min(256, WINDOW_WORDS // span))
+        for part in range(0, len(found), step):
+            some = found[part : part + step]
+            first, last = bounds[some[:, 0]], bounds[some[:, 0] + 1]
             # Half an item's words may be added or left out before the last of them.
-            starts = [max(int(bounds[k]), int(bounds[k]) + (anchor - 1) * span) for k, anchor in some]
-            ends = [min(int(bounds[k + 1]), int(bounds[k]) + (anchor + 3) * span) for k, anchor in some]
-            widths = np.array([b - a for a, b in zip(starts, ends, strict=True)])
-            padded = np.zeros((len(some), int(widths.max())), dtype=np.uint64)
-            for j, (a, b) in enumerate(zip(starts, ends, strict=True)):
-                padded[j, : b - a] = hashes[a:b]
-            best, end = align(padded, widths, words)
+            starts = np.maximum(first, first + (some[:, 1] - 1) * span)
+            ends = np.minimum(last, first + (some[:, 1] + 3) * span)
+            widths = ends - starts
+            across = np.arange(int(widths.max()))
+            padded = hashes[np.minimum(starts[:, None] + across, len(hashes) - 1)]
+            can = reachable(padded, widths, words) >= needed(span)
+            if not can.any():
+                continue
+            best, end = align(padded[can], widths[can], words)
             for j in np.flatnonzero(best >= needed(span)).tolist():
-                k = some[j][0]
-                yield k, item, float(best[j]) / (MATCH * span), int(best[j]), starts[j] + int(end[j]) - int(bounds[k])
+                row = np.flatnonzero(can)[j]
+                k = int(some[row, 0])
+                yield k, item, float(best[j]) / (MATCH * span), int(best[j]), int(starts[row] + end[j] - bounds[k])
 
 
 def _blocks(benchmark: DataFrame) -> list[list]:
@@ -147,35 +161,18 @@ def _blocks(benchmark: DataFrame) -> list[list]:
     return [block for k in range(2 * n) if (block := dealt.where(F.col("_block") == k).collect())]
 
 
-def _seeded(docs: DataFrame, block: list) -> Items:
-    """The block's items with the seeds that are rare in all of ``docs``."""
-    items = Items([r["item_id"] for r in block], [r["text"] for r in block])
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most ITEMS_PER_BLOCK items
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        found = np.zeros(len(own.grams), dtype=np.int64)
-        for _, words in texts(batches):
-            for some in groups(words):
-                hashes, bounds = word_hashes([words[k] for k in some])
-                places, rows = own.hits(hashes)
-                text = np.searchsorted(bounds, places, side="right") - 1
-                rows = rows[places + SEED_WORDS <= bounds[text + 1]]
-                found += np.bincount(rows, minlength=len(found))
-        rows = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(own.grams[rows].view(np.int64)), pa.array(found[rows])], ["gram", "n"])
-
-    counts = docs.select(whole_text().alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    items.only_rare({r["gram"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counts.collect()})  # no more rows than the block has n-grams
-    return items
+def _items(block: list) -> Items:
+    return Items([r["item_id"] for r in block], [r["text"] for r in block])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, score, aligned_score, end_word``: documents that repeat a test item.
 
     ``score`` is the best alignment's share of the item's own score. Words are runs of
-    letters and digits, lower-cased. An item with fewer than SEED_WORDS words has no n-gram
-    and is not searched for. Null and empty texts repeat nothing; repeated rows are each
+    letters and digits, lower-cased. All n-grams of an item are seeds, however rare: those that
+    an edited or partial copy has left may be the item's most frequent ones. An item with fewer
+    than SEED_WORDS words has no n-gram and is not searched for; nor is a passage found that
+    has no run of SEED_WORDS words of the item in a row. Null and empty texts repeat nothing; repeated rows are each
     reported; an empty table on either side gives no rows; other columns are ignored. Seeds
     meet the passages inside the task that reads them, so no text is shuffled.
     """
@@ -183,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     schema = "doc_id long, item_id long, score double, aligned_score int, end_word long"
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_seeded(docs, block))
+        shared = docs.sparkSession.sparkContext.broadcast(_items(block))  # at most ITEMS_PER_BLOCK items
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             items = shared.value
@@ -210,7 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     name = fresh(docs, "_text")
     left = docs.withColumn(name, whole_text())
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_seeded(docs, block))
+        shared = docs.sparkSession.sparkContext.broadcast(_items(block))  # at most ITEMS_PER_BLOCK items
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for part, words in texts(batches, name):

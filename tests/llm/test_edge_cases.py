@@ -79,6 +79,54 @@ def test_edited_copies_are_leaks(spark, benchmark):
     assert pairs == {(1, 1), (2, 1), (3, 1), (6, 1), (6, 2)}
 
 
+def _word_copies():
+    """A long item of words of its own, and copies that leave most of its 3-grams nowhere in the corpus."""
+    item = [f"item{k}" for k in range(100)]
+    fifth = [w if k % 5 else f"edit{k}" for k, w in enumerate(item)]
+    return item, fifth, [f"own{k}" for k in range(60)]
+
+
+@pytest.mark.parametrize("verbatim", [0, 1, 5])
+def test_edited_and_partial_copies_are_leaks_whatever_else_is_there(spark, verbatim):
+    item, fifth, other = _word_copies()
+    rows = [
+        (1, " ".join(other + fifth + other)),
+        (2, " ".join(other + item[40:70] + other)),
+        (3, " ".join(other + item[40:60] + other)),
+        *((10 + k, " ".join([f"v{k}", *item])) for k in range(verbatim)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    leaks = {1, 2, *range(10, 10 + verbatim)}
+    found = decontaminate.contaminated(docs, items).collect()
+    assert {r["doc_id"] for r in found} == leaks and len(found) == len(leaks)
+    assert {r["aligned_score"] for r in found if r["doc_id"] == 2} == {60}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {3}
+
+
+def test_no_window_is_left_out_that_alignment_would_report(monkeypatch):
+    """The bound on the score holds for every window, and steps over few hits find what one step finds."""
+    rng = np.random.default_rng(8)
+    item = rng.integers(0, 9, 20).astype(np.uint64)
+    windows = rng.integers(0, 14, (200, 33)).astype(np.uint64)
+    widths = rng.integers(1, 34, 200)
+    assert (decontaminate.reachable(windows, widths, item) >= decontaminate.align(windows, widths, item)[0]).all()
+    shared = [" ".join(f"w{v}" for v in rng.integers(0, 4, 30)) for _ in range(20)]
+    items = decontaminate.Items(list(range(20)), shared)
+
+    def best():
+        out = {}
+        for k, i, _, score, _ in decontaminate._leaks(items, shared):
+            out[k, i] = max(score, out.get((k, i), 0))
+        return out
+
+    whole = best()
+    assert {(k, k) for k in range(20)} <= set(whole)
+    monkeypatch.setattr(decontaminate, "HITS_PER_STEP", 7)
+    monkeypatch.setattr(decontaminate, "WINDOW_WORDS", 64)
+    assert best() == whole
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = np.random.default_rng(5)
     item = rng.integers(0, 6, 20).astype(np.uint64)
