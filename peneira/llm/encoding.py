@@ -14,6 +14,7 @@ MEMO_WORDS = 500_000
 MEMO_CHARS = 48
 _LOOSE = re.compile(r" (?=\s|\Z)")
 _UNIT = re.compile(r"(?s)(?<=.)(?= \S)")
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
 # Up to here Python and the vocabulary's own pattern agree on what a letter is.
 _LAST_LETTER = "ɏ"
 
@@ -80,6 +81,11 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
 
+    @staticmethod
+    def _lines(word: str) -> list[str]:
+        """``word`` cut at all its single line breaks between visible characters: no part has one left to cut at."""
+        return _LINE.split(word) if "\n" in word else [word]
+
     def _letters_only(self, word: str, before: str) -> bytes | None:
         """Ids of a word of letters alone: it is a single piece for the model."""
         if not word.isalpha():
@@ -101,9 +107,9 @@ class Encoder:
             return found
         if word[-1] in ",." and word[:-1].isalpha() and word[-2] <= _LAST_LETTER:
             return self.memo[word[:-1]] + self.bare[word[-1]]
-        before, line, after = word.partition("\n")
-        if line and before and after and not before[-1].isspace() and not after[0].isspace():
-            return self.memo[before] + self.bare[line] + self.bare[after]
+        lines = self._lines(word)
+        if len(lines) > 1:
+            return self.bare["\n"].join([self.memo[lines[0]], *map(self.bare.__getitem__, lines[1:])])
         return self._plain(" " + word)
 
     def _alone(self, word: str) -> bytes:
@@ -111,9 +117,9 @@ class Encoder:
         found = self._letters_only(word, "")
         if found is not None:
             return found
-        before, line, after = word.partition("\n")
-        if line and before and after and not before[-1].isspace() and not after[0].isspace():
-            return self.bare[before] + self.bare[line] + self.bare[after]
+        lines = self._lines(word)
+        if len(lines) > 1:
+            return self.bare["\n"].join(map(self.bare.__getitem__, lines))
         return self._plain(word)
 
     def ids(self, text: str) -> bytes:

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from corpus_fixtures import ROWS, SCHEMA, clashing, docs, empty, found, sentence  # noqa: F401
+from corpus_fixtures import ROWS, SCHEMA, WORDS, clashing, docs, empty, found, sentence  # noqa: F401
 from pyspark.sql import functions as F
 
 from peneira.llm import decontaminate, encoding, exact_dedup, frames, hashing, packing, pii, quality, secrets, sharding, simhash, token_counts
@@ -232,6 +232,20 @@ def test_encoder_equals_plain_encoding():
         assert own.ids(text) == np.array(plain, dtype="<u4").tobytes(), text
 
 
+def test_encoder_takes_thousands_of_lines_without_a_blank(spark):
+    """A text without a blank is cut at its line breaks in a loop, however many it has."""
+    own = encoding.Encoder()
+    lines = [f"{WORDS[k % len(WORDS)]}{k if k % 3 else ''}" for k in range(5000)]
+    base64 = [("QUJD" + "0123456789abcdefXYZ+/" * 4)[k % 5 : 64 + k % 5] for k in range(600)]
+    odd = ["http://a.b/c?d=1,", "end.", "é", "日本", "\ttab", "x\t", "", "\r", "a\x1c", "\xa0b"] * 200
+    for text in ["\n".join(lines), "one " + "\n".join(lines) + " last", "\n".join(base64), "x " + "\n".join(odd), "\n".join(odd) + "  z"]:
+        plain = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert own.ids(text) == np.array(plain, dtype="<u4").tobytes(), text[:80]
+    listed = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    n = len(own.tokenizer.encode("\n".join(lines), add_special_tokens=False).ids)
+    assert [(r["n_tokens"], r["n_docs"]) for r in token_counts.length_histogram(token_counts.token_lengths(listed)).collect()] == [(n, 1)]
+
+
 def test_frames_random_access_and_damage(spark, docs):
     path = scratch_path(spark, "frames-test")
     frames.write_frames(docs, path, file_bytes=64, part_rows=4)
