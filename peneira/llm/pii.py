@@ -21,6 +21,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Characters of an account number by country, as registered.
+_IBAN_LENGTHS = {
+    c: int(n)
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -52,6 +63,25 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of account numbers; what follows in blank-separated capitals or digits is no part of them.
+
+    A candidate ends where one of its groups ends: at its country's length, else as far as it
+    reaches, else, for a country not listed, at the last group end that is valid. After one
+    that is not valid the search goes on behind its first character.
+    """
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, ends = m.start(), [k for k in range(m.end(), m.start() + 14, -1) if k == m.end() or text[k] == " "]
+        length = _IBAN_LENGTHS.get(text[start : start + 2])
+        sized = [k for k in ends if k - start - text.count(" ", start, k) == length]
+        tried = [*sized, ends[0]] if length else ends
+        end = next((k for k in tried if mod97(text[start:k])), None)
+        if end:
+            yield start, end
+        at = end or start + 1
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the email pattern, leftmost first: tried only where an @ stands.
 
@@ -84,7 +114,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
             found.append(("card", *m.span()))
     if "+" in text:
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
-    found += [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m.group())]
+    found += [("iban", a, b) for a, b in _ibans(text)]
     return [(kind, a, b, _score(text, kind, a, b)) for kind, a, b in found]
 
 

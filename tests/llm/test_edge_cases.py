@@ -353,6 +353,14 @@ def test_pii_edges():
     assert not [s for s in pii.find_spans("GB83 WEST 1234 5698 7654 32") if s[0] == "iban"]
 
 
+def test_ibans_end_before_what_follows_them():
+    gb, de, es = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "ES9121000418450200051332"
+    for text in [f"{gb} USD", f"{de} 2024", f"pay {de} BIC COBADEFF", f"{es} X 1 2", gb, f"{gb}.", f"AB12 {gb} 7", f"{gb} {de} {es} OK"]:
+        expected = [v for v in (gb, de, es) if v in text]
+        assert [text[a:b] for kind, a, b, _ in pii.find_spans(text) if kind == "iban"] == expected, text
+    assert not list(pii._ibans("GB83 WEST 1234 5698 7654 32 USD"))
+
+
 def test_word_hashes_do_not_depend_on_neighbours(monkeypatch):
     texts = ["alpha beta", "", "beta, gamma!", "Alpha", "x " * 50 + "alpha"]
     hashes, bounds = hashing.word_hashes(texts)
