@@ -175,13 +175,15 @@ def features(group: Sequence[str], stats: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(x: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic weights and offset for soft labels, by accelerated gradient steps."""
-    w, bias = np.zeros(x.shape[1], dtype=np.float64), float(np.log((good.mean() + 1e-3) / (1 - good.mean() + 1e-3)))
+def train(x: np.ndarray, good: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic weights and offset for soft labels of rows that count ``times`` each, by accelerated gradient steps."""
+    share = times / times.sum()
+    mean = good @ share
+    w, bias = np.zeros(x.shape[1], dtype=np.float64), float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
     ahead_w, ahead_b = w.copy(), bias
     for t in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ ahead_w.astype(np.float32) + ahead_b, -40, 40)))
-        slip = (p - good) / len(good)
+        slip = (p - good) * share
         next_w = ahead_w - RATE * (x.T @ slip.astype(np.float32) + DECAY * ahead_w)
         next_b = ahead_b - 0.5 * float(slip.sum())
         pace = t / (t + 3)
@@ -201,12 +203,23 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(features(group, stats) @ self.weights.astype(np.float32) + self.bias, -40, 40)))
 
 
+def training_sample(docs: DataFrame, share: float) -> DataFrame:
+    """``text, times``: the distinct texts of about ``share`` of the rows, and how many of the rows drawn have each.
+
+    Rows are drawn by a hash of id and text, so copies of a text are drawn apart and in
+    proportion; rows that repeat id and text count once.
+    """
+    rows = docs.select(F.xxhash64("doc_id", whole_text()).alias("row"), whole_text().alias("text"))
+    drawn = rows.where(F.pmod("row", F.lit(1_000_003)) < share * 1_000_003)
+    return drawn.groupBy("text").agg(F.count_distinct("row").alias("times"))
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     """Estimate labeller accuracies on every row of ``docs``; train on about ``sample_rows`` of them.
 
     Vote patterns number at most 3 to the power of the labellers, so their histogram over the
-    whole corpus is a small table. The sample is drawn by a hash of the text; its expected size
-    never exceeds ``sample_rows``. Only weights come back to the driver.
+    whole corpus is a small table. The sample is drawn by a hash of id and text; its expected size
+    never exceeds ``sample_rows``, whatever copies there are. Only weights come back to the driver.
     """
 
     def poll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,21 +237,21 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     counts = np.array([r["n"] for r in histogram], dtype=np.float64)
     labels = LabelModel.fit(np.array([r["pattern"] for r in histogram]), counts)
     share = min(1.0, sample_rows / counts.sum())
-    sample = plain.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, good = [], []
-        for _, words in texts(batches):
+        parts, good, times = [], [], []
+        for part, words in texts(batches):
+            times.append(part.column("times").to_numpy(zero_copy_only=False).astype(np.float64))
             for some in groups(words):
                 group = [words[k] for k in some]
                 stats = statistics(group)
                 parts.append(features(group, stats))
                 good.append(labels.posterior(pattern_of(votes(stats))))
         if parts:
-            w, bias = train(np.concatenate(parts), np.concatenate(good))
+            w, bias = train(np.concatenate(parts), np.concatenate(good), np.concatenate(times))
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([bias])], ["w", "bias"])
 
-    trained = sample.repartition(1).mapInArrow(learn, "w binary, bias double").collect()
+    trained = training_sample(docs, share).repartition(1).mapInArrow(learn, "w binary, bias double").collect()
     if not trained:
         return Scorer(labels, np.zeros(WIDTH), float(np.log(labels.prior / (1 - labels.prior))))
     return Scorer(labels, np.frombuffer(trained[0]["w"]), trained[0]["bias"])

@@ -382,3 +382,24 @@ def test_weak_labels_learn_accuracies():
     estimated = model.tables[:, 1, 1]
     assert abs(model.prior - 0.8) < 0.05
     assert (np.diff(estimated) > -0.02).all() and abs(estimated[-1] - 0.95) < 0.03
+
+
+def test_training_sample_is_bounded_whatever_copies_there_are(spark):
+    """Copies of a text are drawn in proportion, even of one that a hash of the text alone would draw."""
+    share = 0.05
+    names = spark.range(500).select(F.concat(F.lit("hot text "), "id").alias("text"))
+    hot = names.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).first()["text"]
+    rows = [(k, hot if k % 3 == 0 else sentence(k), None) for k in range(3000)] + [(None, hot, None)] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = {r["text"]: r["times"] for r in quality.training_sample(docs, share).collect()}
+    assert 20 <= drawn[hot] <= 90 and 80 <= sum(drawn.values()) <= 230
+    scorer = quality.fit(docs, sample_rows=200)
+    assert np.isfinite(scorer.weights).all() and np.isfinite(scorer.bias)
+
+
+def test_training_counts_texts_as_often_as_they_occur():
+    rng = np.random.default_rng(4)
+    x, good, times = rng.random((30, 12)).astype(np.float32), rng.random(30), rng.integers(1, 5, 30)
+    one = quality.train(x, good, times.astype(float))
+    other = quality.train(np.repeat(x, times, axis=0), np.repeat(good, times), np.ones(times.sum()))
+    assert np.allclose(one[0], other[0], atol=1e-3) and abs(one[1] - other[1]) < 1e-3
