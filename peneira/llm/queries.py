@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peneira.llm import decontaminate, exact_dedup, frames, packing, pii, quality, secrets, sharding, simhash, token_counts
+from peneira.llm import (
+    decontaminate, exact_dedup, frames, packing, periodic, pii, quality, secrets, sharding, simhash, token_counts, topk,
+)
 from peneira.llm.common import table
 from peneira.session import scratch_path
 
@@ -61,11 +63,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, after planted ones."""
+    return periodic.document_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_topk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth vector, by inner product."""
+    return topk.nearest(table(spark, sf_dir, "embeddings"), 10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_decontaminate, op3_simhash, op4_token_frames, op5_exact_dedup,
         op6_hilbert_shards, op7_secret_scan, op8_pii, op9_quality, op10_packing,
+        op12_periodic_runs, op13_topk_join,
     )
 }
 
