@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from peneira.llm import (
-    decontaminate, exact_dedup, frames, packing, periodic, pii, quality, secrets, sharding, simhash, token_counts, topk,
+    conversations, decontaminate, exact_dedup, frames, packing, periodic, pii, quality, secrets, sharding, simhash, token_counts, topk,
 )
 from peneira.llm.common import table
 from peneira.session import scratch_path
@@ -63,6 +63,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after planted damage."""
+    return conversations.repair_report(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, after planted ones."""
     return periodic.document_runs(table(spark, sf_dir, "documents"))
@@ -78,7 +83,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_decontaminate, op3_simhash, op4_token_frames, op5_exact_dedup,
         op6_hilbert_shards, op7_secret_scan, op8_pii, op9_quality, op10_packing,
-        op12_periodic_runs, op13_topk_join,
+        op11_conversation_repair, op12_periodic_runs, op13_topk_join,
     )
 }
 
