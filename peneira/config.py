@@ -24,6 +24,7 @@ class Settings:
     apply_cutoff: int = 80
     review_cutoff: int = 50
     draft_cutoff: int = 80
+    rank_steps: tuple[int, ...] = (90, 80, 65)
     max_age_days: int = 30
     parser_version: int = 1
     default_lang: str = "pt"

@@ -12,33 +12,27 @@ from peneira.functions.links import canonical_url
 from peneira.functions.text import norm, term_text
 from peneira.operators.extract import missing_fields
 from peneira.operators.groups import dup_groups
-from peneira.operators.keyed import keep_first, lookup
+from peneira.operators.keyed import keep_first, present, spread_lookup
 from peneira.session import stage
 
 # Posting states, the first that applies wins.
 STATUSES = ("extraction_failed", "duplicate", "stale", "incompatible", "active")
 
 
-def _all_present(keys: Sequence[str]) -> Column:
-    present = F.lit(True)
-    for k in keys:
-        present = present & F.col(k).isNotNull()
-    return present
-
-
 def dup_by_key(jobs: DataFrame, keys: Sequence[str], name: str = "dup_of") -> DataFrame:
     """Postings with the id of the earliest one sharing all key values, null for that one.
 
     A null key value never makes a duplicate. The earliest per key is found with one row
-    per key and task shuffled; the way back splits keys that many postings share.
+    per key and task shuffled; the way back deals keys that many postings share, and postings
+    without a key, over several tasks.
     """
     first = keep_first(
-        jobs.where(_all_present(keys)).select(*keys, "posted_at", "job_id"),
+        jobs.where(present(keys)).select(*keys, "posted_at", "job_id"),
         keys,
         [F.asc_nulls_last("posted_at"), F.col("job_id")],
     ).select(*keys, F.col("job_id").alias("_first"))
     return (
-        lookup(jobs, first, keys)
+        spread_lookup(jobs, first, keys, F.col("job_id"))
         .withColumn(name, F.when(F.col("_first") != F.col("job_id"), F.col("_first")))
         .drop("_first")
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peneira.operators.keyed import lookup
-from peneira.session import shared_dir
+from peneira.operators.keyed import spread_lookup
+from peneira.session import stage
 
 MAX_ROUNDS = 50
 
@@ -25,7 +25,7 @@ def _star_round(edges: DataFrame) -> DataFrame:
         .where("a != b")
         .distinct()
     )
-    down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    down = stage(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "down")
     small = _attach_minimum(down)
     return (
         small.select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -36,11 +36,9 @@ def _star_round(edges: DataFrame) -> DataFrame:
 
 
 def _attach_minimum(directed: DataFrame) -> DataFrame:
-    """Directed edges a -> b with the smallest of a and all its b."""
-    least = directed.groupBy("a").agg(F.min("b").alias("m")).select(
-        "a", F.least("a", "m").alias("least")
-    )
-    return lookup(directed, least, ["a"])
+    """Directed edges a -> b with the smallest of a and all its b; the edges of a hub are dealt over tasks."""
+    least = directed.groupBy("a").agg(F.least("a", F.min("b")).alias("least"), F.count(F.lit(1)).alias("degree"))
+    return spread_lookup(directed, stage(least, "least"), ["a"], F.col("b"), "degree").drop("degree")
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -58,18 +56,13 @@ def dup_groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
 
     Rounds of star contraction shrink path lengths geometrically, so the number of rounds
     grows with the logarithm of the longest chain. Each round is a join and an aggregation;
-    checkpoints in the shared folder cut the lineage.
+    tables in the shared folder cut the lineage. They give the optimizer true sizes, which
+    checkpoints do not: those keep estimates that are multiplied from round to round.
     """
-    shared_dir(pairs.sparkSession)
-    edges = (
-        pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .where("a != b")
-        .distinct()
-        .checkpoint()
-    )
+    edges = stage(pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct(), "edges")
     after = _fingerprint(edges)
     for _ in range(MAX_ROUNDS):
-        edges = _star_round(edges).checkpoint()
+        edges = stage(_star_round(edges), "edges")
         before, after = after, _fingerprint(edges)
         if before == after:
             break

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 WORK_PER_CELL = 2_000_000
 ROWS_PER_CELL = 2_000
+PARTS_PER_TASK = 16
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -77,13 +78,56 @@ def salted_join(
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join to a table with one row per key.
 
-    Both exchanges are Spark's own, so that adaptive execution sees their sizes: it splits a
-    partition in which one key (or null) repeats, and repeats the one row on the other side.
-    Nothing is counted beforehand and ``df`` runs once.
+    ``df`` runs once and nothing is counted beforehand. Adaptive execution can split a
+    partition in which one key repeats only where it has exchanges of its own on both sides;
+    where a key may hold much of ``df``, or ``table`` is an aggregate on the same keys, use
+    ``spread_lookup``.
     """
     return df.join(table, list(keys), "left")
 
 
+def crowded_keys(counts: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """Keys of a table of counts with more rows than a small part of a task's share, and in how many parts each is dealt (``_salts``).
+
+    Parts meet tasks by hash, so there are several per task to even out. There are fewer such
+    keys than PARTS_PER_TASK times the shuffle partitions, so they may be broadcast.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum(size)).first()[0] or 0
+    share = max(ROWS_PER_CELL, total / (PARTS_PER_TASK * parts))
+    return counts.where(F.col(size) > share).select(*keys, F.ceil(F.col(size) / share).cast("int").alias("_salts"))
+
+
+def present(keys: Sequence[str]) -> Column:
+    """Whether no key is null."""
+    found = F.lit(True)
+    for k in keys:
+        found = found & F.col(k).isNotNull()
+    return found
+
+
+def spread_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], spread: Column, size: str | None = None) -> DataFrame:
+    """``lookup`` that deals a crowded key's rows over several tasks by ``spread``.
+
+    The one row of ``table`` is repeated for each of them. Rows with a null key, which match
+    nothing, are dealt over all tasks. ``size`` names a column of ``table`` that holds how many rows of
+    ``df`` have the key; both should be stored tables then. Without it ``df`` is read once more
+    to count them, with one row per key and task shuffled.
+    """
+    if size is None:
+        counts, size = df.where(present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n"
+    else:
+        counts = table.select(*keys, size)
+    crowded = F.broadcast(crowded_keys(counts, keys, size))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.coalesce("_salts", F.lit(1))
+    many = F.when(present(keys), salts).otherwise(F.lit(parts))
+    left = df.join(crowded, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), many).cast("int")).drop("_salts")
+    right = table.join(crowded, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    # The salt is part of the key, so a key's rows are not brought together, however ``table`` was made.
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peneira.config import DEFAULTS, Settings
+from peneira.operators import classes as K
 from peneira.operators import clean as C
 from peneira.operators import profiles as P
 from peneira.operators import score as S
 from peneira.operators import tagging as T
 from peneira.operators.keyed import lookup
+from peneira.operators.similarity import near_dup_pairs
 from peneira.session import stage
 
 
@@ -25,13 +27,23 @@ class Inputs:
     counts: DataFrame
 
 
+def near_links(texts: DataFrame, id_col: str = "job_id", text_col: str = "description", settings: Settings = DEFAULTS) -> DataFrame:
+    """Stored links ``id_a, id_b`` between postings with near-equal texts, for ``prepare``."""
+    pairs = near_dup_pairs(texts, id_col, text_col, settings.near_dup_jaccard, settings.shingle_words)
+    return stage(pairs.select("id_a", "id_b"), "near-links")
+
+
 def prepare(
-    jobs: DataFrame, profiles: DataFrame, places: DataFrame, settings: Settings = DEFAULTS
+    jobs: DataFrame, profiles: DataFrame, places: DataFrame, settings: Settings = DEFAULTS, links: DataFrame | None = None
 ) -> Inputs:
-    """Tag and clean the postings and normalise the preferences."""
+    """Tag and clean the postings and normalise the preferences.
+
+    Postings that share a link or company, title and location are one group of duplicates;
+    ``links`` joins further ones, as of near-equal texts (``near_links``).
+    """
     terms = P.profile_terms(profiles, settings.weights)
     dictionary = stage(T.term_dictionary(terms), "dictionary")
-    features = T.job_features(jobs, dictionary, places, C.job_flags(jobs))
+    features = T.job_features(jobs, dictionary, places, C.job_flags(jobs, links))
     postings = stage(S.posting_features(features), "postings")
     wide = S.scoring_profiles(P.profile_features(profiles), settings.weights)
     return Inputs(postings, stage(wide, "profiles"), S.feature_counts(postings))
@@ -82,6 +94,72 @@ def top_jobs(triaged_pairs: DataFrame, k: int) -> DataFrame:
     return ranked.select("profile_id", "rank", "job_id", "posted_at", "score", "classification")
 
 
+@dataclass(frozen=True)
+class Classes:
+    """Postings and profiles with their classes, and one row per class; all of them stored."""
+
+    postings: DataFrame
+    profiles: DataFrame
+    posting_heads: DataFrame
+    profile_heads: DataFrame
+
+    def inputs(self) -> Inputs:
+        """Heads in place of postings and profiles: scoring them scores every pair they stand for."""
+        heads = self.posting_heads.drop("class", "members", "hidden", "n_postings")
+        return Inputs(heads, self.profile_heads.drop("class", "n_profiles"), S.feature_counts(heads))
+
+
+def classes(inputs: Inputs, as_of: Column, k: int, settings: Settings = DEFAULTS) -> Classes:
+    """Classes of everything, with the ``k`` best postings of each class of postings."""
+    limits = K.age_limits(inputs.profiles, settings)
+    postings = stage(K.classed_postings(inputs.postings, as_of, limits), "classed-postings")
+    profiles = stage(K.classed_profiles(inputs.profiles, settings), "classed-profiles")
+    return Classes(
+        postings, profiles, stage(K.posting_heads(postings, k), "posting-heads"), stage(K.profile_heads(profiles), "profile-heads")
+    )
+
+
+def best_jobs(found: Classes, as_of: Column, k: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """Best ``k`` active postings per profile from the review cut-off on, without forming all such pairs.
+
+    Rounds go down from high scores to the cut-off. A round finds all pairs of classes at or above its score for
+    the profiles still open; whoever has k active postings by then is settled, since whatever
+    is left scores less. What is kept is at most k postings per profile; a class of postings counts as one.
+    """
+    postings = found.posting_heads.where("not hidden").drop("class", "members", "hidden", "n_postings")
+    counts = stage(S.feature_counts(postings), "feature-counts")
+    open_, ranked = found.profile_heads.drop("class", "n_profiles"), None
+    for step in (*[s for s in settings.rank_steps if s > settings.review_cutoff], settings.review_cutoff):
+        pairs = _resolved(score(Inputs(postings, open_, counts), F.lit(float(step)), settings), as_of)
+        top = stage(K.ranked_members(pairs.where("status = 'active'"), found.posting_heads, k), f"ranked-{step}")
+        last = step == settings.review_cutoff
+        settled = top.where(F.col("rank") == k).select("profile_id")
+        part = top if last else top.join(settled, "profile_id", "left_semi")
+        ranked = part if ranked is None else ranked.unionByName(part)
+        if not last:
+            open_ = stage(open_.join(settled, "profile_id", "left_anti"), "open-profiles")
+            if open_.isEmpty():
+                break
+    heads = found.profile_heads.select("class", F.col("profile_id").alias("_head"))
+    members = found.profiles.select("profile_id", "class").join(heads, "class").drop("class")
+    return members.join(ranked.withColumnRenamed("profile_id", "_head"), "_head").drop("_head")
+
+
+def class_pairs(found: Classes, as_of: Column, settings: Settings = DEFAULTS) -> DataFrame:
+    """Pairs of classes from the review cut-off on: ``posting_class, n_profiles, n_postings, score, classification, status``."""
+    names = found.posting_heads.select("job_id", F.col("class").alias("posting_class"), "n_postings")
+    counts = found.profile_heads.select("profile_id", "n_profiles")
+    pairs = _resolved(score(found.inputs(), review_threshold(settings), settings), as_of)
+    kept = pairs.select("profile_id", "job_id", "score", "classification", "status")
+    return lookup(lookup(kept, counts, ["profile_id"]), names, ["job_id"]).drop("profile_id", "job_id")
+
+
+def posting_counts(found: Classes, as_of: Column, settings: Settings = DEFAULTS) -> DataFrame:
+    """What becomes of each posting's pairs with all profiles: see ``classes.class_counts``."""
+    active = K.active_profiles(found.postings, found.profiles, as_of, settings)
+    return K.class_counts(class_pairs(found, as_of, settings), found.postings, active, found.profiles.count())
+
+
 _EXPLANATION = ("features", "want_", "unwanted_penalize", "discard", "avoid_")
 
 

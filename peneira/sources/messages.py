@@ -28,16 +28,29 @@ def read_messages(spark: SparkSession, path: str, sources: DataFrame) -> DataFra
     return stored.join(wanted, "label", "left_semi")
 
 
+def write_batch(messages: DataFrame, path: str, batch: str) -> None:
+    """Write one sync batch unchanged, under its labels' folders, in place of an earlier try of it."""
+    (
+        messages.withColumn("batch", F.lit(batch)).hint("rebalance", "label")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "batch").parquet(path)
+    )
+
+
+def first_arrivals(messages: DataFrame, order: str = "received_at") -> DataFrame:
+    """Each id once: its earliest arrival; equal times go by the other columns, bodies last."""
+    ties = [c for c, t in messages.dtypes if c not in ("message_id", order, *BODIES) and not t.startswith("map")]
+    bodies = F.md5(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in BODIES if c in messages.columns]))
+    ranked = messages.withColumn("_bodies", bodies)
+    return keep_first(ranked, ["message_id"], [F.col(order), *map(F.col, ties), F.col("_bodies")]).drop("_bodies")
+
+
 def drop_seen(new: DataFrame, stored: DataFrame, order: str = "received_at") -> DataFrame:
     """Messages whose id is not stored yet, each id once (the earliest arrival).
 
-    Only the id column of the store is read.
+    Only the id column of the store is read. For a store that is asked again and again,
+    ``known_ids.KnownIds.unseen`` does the same without moving its ids.
     """
-    unseen = new.join(stored.select("message_id"), "message_id", "left_anti")
-    ties = [c for c, t in new.dtypes if c not in ("message_id", order, *BODIES) and not t.startswith("map")]
-    bodies = F.md5(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in BODIES if c in new.columns]))
-    ranked = unseen.withColumn("_bodies", bodies)
-    return keep_first(ranked, ["message_id"], [F.col(order), *map(F.col, ties), F.col("_bodies")]).drop("_bodies")
+    return first_arrivals(new.join(stored.select("message_id"), "message_id", "left_anti"), order)
 
 
 def message_status(messages: DataFrame, jobs: DataFrame, failures: DataFrame) -> DataFrame:

@@ -35,3 +35,10 @@ def check_labels(sources: DataFrame, catalog: DataFrame) -> DataFrame:
             F.size(parts).alias("depth"),
         )
     )
+
+
+def record_sync(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """Registry with ``last_sync_at`` from the table of sync runs: the latest run, whether or not it brought mail."""
+    last = runs.groupBy("label").agg(F.max("synced_at").alias("_synced_at"))
+    known = F.col("last_sync_at") if "last_sync_at" in sources.columns else F.lit(None).cast("timestamp")
+    return sources.join(last, "label", "left").withColumn("last_sync_at", F.greatest(known, "_synced_at")).drop("_synced_at")

@@ -184,6 +184,19 @@ CTES: dict[str, str] = {
     "ZP": "SELECT ZU.* FROM ZU JOIN PL USING (profile_id, job_id)",
     "B": """SELECT profile_id, job_id, company, title, posted_at, score, classification, S.name AS source, url, modality, min_score
         FROM Z LEFT JOIN S USING (source_id) WHERE Z.status = 'active'""",
+    # Whether a pair is active does not depend on its score: all profiles with all postings.
+    "NOFIT": f"""SELECT T.profile_id, F.job_id FROM T JOIN F ON F.kind = 'term' AND F.term = T.term_norm
+            WHERE dimension = 'area' OR (dimension = 'unwanted' AND action = 'discard')
+        UNION SELECT T.profile_id, J.job_id FROM T JOIN J ON T.dimension = 'company' AND T.term_norm = {_term('company')}
+        UNION SELECT P.profile_id, J.job_id FROM P JOIN J ON contract IS NOT NULL AND len(contract_types) > 0 AND NOT list_contains(contract_types, contract)""",
+    "VIS": f"""SELECT P.profile_id, J.job_id FROM P CROSS JOIN J LEFT JOIN DG ON DG.job_id = J.job_id ANTI JOIN NOFIT ON NOFIT.profile_id = P.profile_id AND NOFIT.job_id = J.job_id
+        WHERE J.url IS NOT NULL AND coalesce(DG.head, J.job_id) = J.job_id
+        AND NOT coalesce(date_diff('day', coalesce(DG.newest, J.posted_at), DATE '{AS_OF}') > coalesce(P.max_age_days, 30), false)""",
+    "VN": """SELECT J.job_id, coalesce(z.n_scored, 0) AS n_scored, coalesce(z.n_aplicar, 0) AS n_aplicar, coalesce(z.n_avaliar, 0) AS n_avaliar,
+        coalesce(v.n, 0) AS n_active, coalesce(v.n, 0) - coalesce(z.n_aplicar, 0) - coalesce(z.n_avaliar, 0) AS n_ignorar,
+        (SELECT count(*) FROM P) - coalesce(v.n, 0) AS n_hidden FROM J LEFT JOIN (SELECT job_id, count(*) AS n FROM VIS GROUP BY job_id) v ON v.job_id = J.job_id
+        LEFT JOIN (SELECT job_id, count(*) AS n_scored, count_if(status = 'active' AND classification = 'Aplicar') AS n_aplicar,
+            count_if(status = 'active' AND classification = 'Avaliar') AS n_avaliar FROM Z GROUP BY job_id) z ON z.job_id = J.job_id""",
     "STR": """SELECT profile_id, job_id, string_agg(dimension || ': ' || term_norm, '; ' ORDER BY dimension || ': ' || term_norm) AS strengths
         FROM H WHERE dimension <> 'unwanted' GROUP BY profile_id, job_id""",
     "GAP": """SELECT G.profile_id, G.job_id, string_agg(T.dimension || ': ' || T.term_norm, '; ' ORDER BY T.dimension || ': ' || T.term_norm) AS gaps
@@ -286,6 +299,12 @@ _EVENTS = """SELECT user_id || ':' || event_type || ':' || CAST(floor(value) AS
 oracle("src5_drop_seen", f"""SELECT message_id, label, received_at, arrival_no FROM ({_EVENTS}) e WHERE received_at >= TIMESTAMP '2024-01-15'
     AND message_id NOT IN (SELECT message_id FROM ({_EVENTS}) o WHERE received_at < TIMESTAMP '2024-01-15')
     QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at, label, arrival_no) = 1""")
+ORACLE["src5_known_ids"] = ORACLE["src5_drop_seen"]
+oracle("src9_sync_ledger", f"""SELECT l.label, CASE WHEN length(l.label) % 2 = 0 THEN 'active' ELSE 'inactive' END AS status,
+    CASE WHEN length(l.label) % 2 = 0 THEN TIMESTAMP '2024-02-02 00:00:00' END AS last_sync_at, CAST(t.n AS BIGINT) AS n_taken, t.newest_at
+    FROM (SELECT DISTINCT label FROM ({_EVENTS}) e WHERE received_at < TIMESTAMP '2024-01-15') l LEFT JOIN (
+    SELECT label, count(*) AS n, max(received_at) AS newest_at FROM (SELECT * FROM ({_EVENTS}) e WHERE length(label) % 2 = 0
+        QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at, label, arrival_no) = 1) GROUP BY label) t ON t.label = l.label""")
 oracle("src6_append_raw", "SELECT 'd' || doc_id AS message_id, source AS label, md5(text) AS text_md5 FROM documents")
 oracle("src7_sync_stream", f"""SELECT message_id, label, received_at, arrival_no FROM ({_EVENTS}) e
     QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at, label, arrival_no) = 1""")
@@ -388,6 +407,7 @@ oracle("cln10_lineage_summary", f"""SELECT group_id, min(received_at) AS first_s
 
 oracle("scr1_candidate_pairs", """SELECT profile_id, count(*) AS n_pairs, min(job_id) AS first_job, max(job_id) AS last_job
     FROM G GROUP BY profile_id""")
+oracle("scr1_class_counts", "SELECT job_id, n_scored, n_active, n_aplicar, n_avaliar, n_ignorar, n_hidden FROM VN")
 for _n, _dim in enumerate((*_DIMS, "required"), start=2):
     oracle(f"scr{_n}_{_dim}_share", f"SELECT profile_id, job_id, {_dim}_share FROM AP")
 oracle("scr8_unwanted_hits", "SELECT profile_id, job_id, unwanted_hits FROM AP")
@@ -405,6 +425,7 @@ oracle("scr13_reason", "SELECT profile_id, job_id, reason FROM RSN JOIN PL USING
 oracle("scr14_classify", "SELECT profile_id, job_id, classification FROM AP")
 oracle("scr15_rank_jobs", """SELECT profile_id, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, posted_at DESC NULLS LAST, job_id) AS INT) AS rank,
     job_id, posted_at, score, classification FROM Z WHERE status = 'active' QUALIFY rank <= 20""")
+ORACLE["scr15_rank_stored"] = ORACLE["scr15_rank_jobs"]
 # The same over postings read from mails: numbered by message and block, undated ones as of receipt.
 _FROM_MAIL = f"""SELECT * REPLACE (message_id || '-' || block_no AS job_id, coalesce(posted_at, DATE '{AS_OF}') AS posted_at) FROM ({CTES['J']})"""
 ORACLE["scr15_mail_to_ranked"] = ORACLE["scr15_rank_jobs"].replace(f"J AS MATERIALIZED ({CTES['J']})", f"J AS MATERIALIZED ({_FROM_MAIL})")
@@ -436,6 +457,14 @@ oracle("dsh9_facet_counts", " UNION ALL ".join(
 ) + """ UNION ALL SELECT 'technology', term, count(*) FROM (SELECT DISTINCT B.profile_id, B.job_id, X.term FROM B JOIN X ON X.job_id = B.job_id
     WHERE X.term IN (SELECT term_norm FROM T WHERE dimension = 'technology')) GROUP BY term""")
 
+_ALL = "(SELECT VN.*, J.company, J.modality, S.name AS source FROM VN JOIN J ON J.job_id = VN.job_id LEFT JOIN S ON S.source_id = J.source_id) r"
+oracle("dsh9_facets_all_classes", "SELECT facet, value, CAST(n AS BIGINT) AS n FROM (" + " UNION ALL ".join(
+    [f"SELECT '{f}' AS facet, {f} AS value, sum(n_active) AS n FROM {_ALL} GROUP BY {f}" for f in ("source", "company", "modality")]
+    + [f"SELECT 'classification', '{c}', sum(n_{c.lower()}) FROM {_ALL}" for c in ("Aplicar", "Avaliar", "Ignorar")]
+    + ["""SELECT 'technology', term, sum(n_active) FROM (SELECT DISTINCT job_id, term FROM X WHERE term IN (SELECT term_norm FROM T WHERE dimension = 'technology')) x
+        JOIN VN USING (job_id) GROUP BY term"""]
+) + ") WHERE n > 0")
+
 oracle("mat1_eligible", "SELECT profile_id, job_id, score FROM Z WHERE score >= 80 AND status = 'active'")
 oracle("mat2_ready", "SELECT profile_id, job_id FROM R")
 oracle("mat3_match_evidence", "SELECT profile_id, job_id, fact_id, name, level FROM K")
@@ -448,11 +477,18 @@ oracle("mat10_latest_materials", """SELECT profile_id, job_id, kind, md5(CASE WH
     CASE WHEN lang = 'pt' THEN TIMESTAMP '2001-10-01 00:00:00' ELSE TIMESTAMP '2001-09-01 00:00:00' END AS created_at FROM DR""")
 oracle("ops1_failure_report", """SELECT label, status, error, CAST(grouping(label, status, error) AS BIGINT) AS level, count(*) AS n_messages
     FROM MS GROUP BY ROLLUP (label, status, error)""")
-oracle("ops2_funnel", """SELECT m.label, m.n_collected, coalesce(x.n, 0) AS n_extracted, coalesce(z.n_scored, 0) AS n_scored, coalesce(z.n_active, 0) AS n_active,
-    coalesce(z.n_aplicar, 0) AS n_aplicar, coalesce(z.n_avaliar, 0) AS n_avaliar, coalesce(z.n_ignorar, 0) AS n_ignorar
+_FUNNEL = ("n_scored", "n_active", "n_aplicar", "n_avaliar", "n_ignorar", "n_hidden")
+oracle("ops2_funnel", f"""SELECT coalesce(m.label, z.label) AS label, coalesce(m.n_collected, 0) AS n_collected, coalesce(m.n, 0) AS n_extracted,
+    {', '.join(f'CAST(coalesce(z.{c}, 0) AS BIGINT) AS {c}' for c in _FUNNEL)}
     FROM (SELECT label, count(*) AS n_collected, CAST(sum(n_jobs) AS BIGINT) AS n FROM MS GROUP BY label) m
-    JOIN (SELECT label, CAST(sum(n_jobs) AS BIGINT) AS n FROM MS GROUP BY label) x ON x.label = m.label
-    LEFT JOIN (SELECT 'src' || J.source_id AS label, count(Z.job_id) AS n_scored, count_if(status = 'active') AS n_active,
-        count_if(status = 'active' AND classification = 'Aplicar') AS n_aplicar, count_if(status = 'active' AND classification = 'Avaliar') AS n_avaliar,
-        count(DISTINCT J.job_id) * (SELECT count(*) FROM P) - count(Z.job_id) AS n_ignorar FROM J LEFT JOIN Z ON Z.job_id = J.job_id
-        GROUP BY J.source_id) z ON z.label = m.label""")
+    FULL JOIN (SELECT 'src' || J.source_id AS label, {', '.join(f'sum({c}) AS {c}' for c in _FUNNEL)} FROM J JOIN VN ON VN.job_id = J.job_id GROUP BY J.source_id) z
+    ON z.label = m.label""")
+
+# The same with near-equal texts as links: documents stand for the texts of the postings of their number.
+_NEAR_TEXTS = _NEAR.replace("FROM documents)", "FROM documents JOIN part ON p_partkey = doc_id)")
+_NEAR_GROUPS = CTES["DG"].replace("UNION SELECT job_id, kept FROM D2 WHERE kept <> job_id),", "UNION SELECT job_id, kept FROM D2 WHERE kept <> job_id UNION SELECT 'j' || id_b, 'j' || id_a FROM near),")
+oracle("cln8_status_near_texts", """SELECT profile_id, job_id, status, array_to_string(list_sort([r FOR r IN [CASE WHEN is_failed THEN 'extraction_failed' END,
+    CASE WHEN dup_of IS NOT NULL THEN 'duplicate' END, CASE WHEN stale THEN 'stale' END, CASE WHEN incompatible IS NOT NULL THEN 'incompatible' END] IF r IS NOT NULL]), '; ') AS reasons FROM ZP""")
+ORACLE["scr15_rank_near_texts"] = ORACLE["scr15_rank_jobs"]
+for _key in ("cln8_status_near_texts", "scr15_rank_near_texts"):
+    ORACLE[_key] = ORACLE[_key].replace(f"DG AS MATERIALIZED ({CTES['DG']})", f"{_NEAR_TEXTS}, DG AS MATERIALIZED ({_NEAR_GROUPS})")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +28,11 @@ from peneira.operators.similarity import near_dup_pairs
 from peneira.plans import triage
 from peneira.session import scratch_path, stage
 from peneira.sources import messages as M
+from peneira.sources.known_ids import open_ids
 from peneira.sources import registry as R
 from peneira.sources import tables as W
 from peneira.standin import views as V
-from peneira.streaming.sync import sync_stream
+from peneira.streaming.sync import RUNS, sync_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +77,15 @@ def triaged(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def classed(spark: SparkSession, d: str) -> triage.Classes:
+    return _once(spark, d, "classes", lambda: triage.classes(inputs(spark, d), as_of(), TOP_K))
+
+
+def posting_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Each posting's pairs with all profiles, by class."""
+    return _once(spark, d, "posting-counts", lambda: stage(triage.posting_counts(classed(spark, d), as_of()), "posting-counts"))
+
+
 def listed(spark: SparkSession, d: str) -> DataFrame:
     """Triaged pairs of a given list, of all classes: who ordered a part is paired with it as a posting."""
 
@@ -161,6 +172,17 @@ def src5_drop_seen(spark, d):
     return M.drop_seen(new, stored).select("message_id", "label", "received_at", "arrival_no")
 
 
+@query
+def src5_known_ids(spark, d):
+    """The same against the id store, filled in two batches."""
+    stored, new = _old_and_new(spark, d)
+    known = open_ids(spark, scratch_path(spark, "ids"), expected=max(1, stored.count()))
+    early = F.dayofmonth("received_at") < 8
+    known.add(stored.where(early), "first")
+    known.add(stored.where(~early), "second")
+    return M.first_arrivals(known.unseen(new)).select("message_id", "label", "received_at", "arrival_no")
+
+
 @query
 def src6_append_raw(spark, d):
     stored = spark.read.parquet(_store(spark, d))
@@ -193,6 +215,22 @@ def src7_sync_active_labels(spark, d):
     return spark.read.schema(arrivals.schema).parquet(store).select("message_id", "label", "received_at", "arrival_no")
 
 
+@query
+def src9_sync_ledger(spark, d):
+    """Registry after a sync of half the mail and one that finds the other half, by the table of runs."""
+    old, new = _old_and_new(spark, d)
+    incoming, store, runs, state = (scratch_path(spark, n) for n in ("incoming", "store", "runs", "stream"))
+    status = F.when(F.length("label") % 2 == 0, "active").otherwise("inactive").alias("status")
+    registry = stage(old.select("label", status).distinct(), "registry")
+    for day, part in enumerate((old, new), start=1):
+        part.write.mode("append").parquet(incoming)
+        at = dt.datetime(2024, 2, day, tzinfo=dt.timezone.utc)
+        sync_stream(spark, incoming, store, state, old.schema, sources=registry, runs=runs, run_at=at)
+    ledger = spark.read.schema(RUNS).parquet(runs)
+    taken = ledger.groupBy("label").agg(F.sum("n_taken").alias("n_taken"), F.max("newest_at").alias("newest_at"))
+    return R.record_sync(registry, ledger).join(taken, "label", "left")
+
+
 def _mailbox(spark, d) -> DataFrame:
     """Alert mails together with documents, most of which hold no posting."""
     columns = ("message_id", "label", "received_at", "raw_text", "raw_html")
@@ -469,6 +507,25 @@ def cln8_resolve_status(spark, d):
     )
 
 
+def _near_inputs(spark, d) -> triage.Inputs:
+    """Postings whose texts are the documents of the same number: near-equal ones are duplicates too."""
+
+    def build():
+        texts = V.table(spark, d, "documents").select(F.concat(F.lit("j"), "doc_id").alias("job_id"), "text")
+        known = texts.join(V.jobs(spark, d).select("job_id"), "job_id", "left_semi")
+        return triage.prepare(V.jobs(spark, d), V.profiles(spark, d), V.places(spark, d), links=triage.near_links(known, text_col="text"))
+
+    return _once(spark, d, "near-inputs", build)
+
+
+@query
+def cln8_status_near_texts(spark, d):
+    """Status of the listed pairs where near-equal texts make duplicates."""
+    pairs = listed(spark, d).select("profile_id", "job_id")
+    found = triage.triaged_pairs(_near_inputs(spark, d), pairs, as_of())
+    return found.select("profile_id", "job_id", "status", joined("reasons").alias("reasons"))
+
+
 @query
 def cln9_latest_jobs(spark, d):
     events = V.table(spark, d, "events")
@@ -508,6 +565,12 @@ def scr1_candidate_pairs(spark, d):
     )
 
 
+@query
+def scr1_class_counts(spark, d):
+    """Every posting's pairs with all profiles by class, whatever their score."""
+    return posting_counts(spark, d)
+
+
 def _share_query(number: int, dimension: str) -> None:
     def run(spark, d):
         return listed(spark, d).select("profile_id", "job_id", f"{dimension}_share")
@@ -558,6 +621,18 @@ def scr14_classify(spark, d):
 
 @query
 def scr15_rank_jobs(spark, d):
+    return triage.best_jobs(classed(spark, d), as_of(), TOP_K)
+
+
+@query
+def scr15_rank_near_texts(spark, d):
+    """The same where near-equal texts make duplicates."""
+    return triage.best_jobs(triage.classes(_near_inputs(spark, d), as_of(), TOP_K), as_of(), TOP_K)
+
+
+@query
+def scr15_rank_stored(spark, d):
+    """The same from the stored pairs."""
     return triage.top_jobs(triaged(spark, d), TOP_K)
 
 
@@ -566,8 +641,7 @@ def scr15_mail_to_ranked(spark, d):
     """From raw mails to each profile's best active postings: extraction, cleaning, scoring, ranking."""
     jobs = stage(E.extract_jobs(V.mails(spark, d), V.sources(spark, d)), "mail-jobs")
     found = triage.prepare(jobs, V.profiles(spark, d), V.places(spark, d))
-    pairs = stage(triage.triaged(found, as_of()), "mail-triaged")
-    return triage.top_jobs(pairs, TOP_K)
+    return triage.best_jobs(triage.classes(found, as_of(), TOP_K), as_of(), TOP_K)
 
 
 @query
@@ -659,6 +733,15 @@ def dsh9_facet_counts(spark, d):
     return B.facet_counts(_list(spark, d))
 
 
+@query
+def dsh9_facets_all_classes(spark, d):
+    """Facets over the active pairs of all profiles and postings."""
+    names = V.sources(spark, d).select("source_id", F.col("name").alias("source"))
+    tags = inputs(spark, d).postings.select("job_id", "modality", "technologies")
+    jobs = V.jobs(spark, d).select("job_id", "company", "source_id")
+    return B.facet_totals(posting_counts(spark, d).join(tags, "job_id").join(jobs, "job_id").join(names, "source_id", "left"))
+
+
 # --- drafts
 
 
@@ -762,4 +845,4 @@ def ops1_failure_report(spark, d):
 def ops2_funnel(spark, d):
     mailbox, extracted, _ = _extracted(spark, d)
     label = V.jobs(spark, d).select("job_id", F.concat(F.lit("src"), "source_id").alias("label"))
-    return O.funnel(mailbox, extracted, triaged(spark, d), label, V.profiles(spark, d).count())
+    return O.funnel(mailbox, extracted, posting_counts(spark, d), label)

@@ -1,9 +1,13 @@
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from peneira.operators import keyed
+from peneira.operators.clean import dup_by_key
+from peneira.operators.groups import _attach_minimum
+from peneira.session import stage
 
 
 def test_salted_join_equals_plain_join_when_one_key_dominates(spark, monkeypatch):
@@ -66,3 +70,49 @@ def test_lookup_reads_its_input_once(spark, tmp_path):
     t = spark.createDataFrame([(0, "x")], "k long, v string")
     plan = keyed.lookup(spark.read.parquet(str(tmp_path / "rows")), t, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1
+
+
+def rows_per_task(df, tmp_path, name):
+    """Rows that each task of the last stage writes."""
+    df.write.mode("overwrite").parquet(str(tmp_path / name))
+    return df.sparkSession.read.parquet(str(tmp_path / name)).groupBy(F.input_file_name()).count()
+
+
+def test_spread_lookup_equals_lookup(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "ROWS_PER_CELL", 5)
+    a = spark.createDataFrame([(i, ["x", None, "y", "x"][i % 4], i % 3) for i in range(300)], "a long, k string, j int")
+    t = spark.createDataFrame([("x", 0, 1), ("x", 1, 2), ("z", 1, 3)], "k string, j int, v int")
+    got = keyed.spread_lookup(a, t, ["k", "j"], F.col("a"))
+    assert got.columns == ["k", "j", "a", "v"]
+    assert rows(got.select("a", "v")) == rows(a.join(t, ["k", "j"], "left").select("a", "v"))
+    counts = a.where("k is not null").groupBy("k").count()
+    sized = t.join(a.groupBy("k", "j").count(), ["k", "j"], "left")
+    assert rows(keyed.spread_lookup(a, sized, ["k", "j"], F.col("a"), "count").select("a", "v")) == rows(got.select("a", "v"))
+    crowded = keyed.crowded_keys(counts, ["k"], "count")
+    assert {r["k"] for r in crowded.collect()} == {"x", "y"} and crowded.agg(F.min("_salts")).first()[0] > 1
+
+
+@pytest.mark.parametrize("operator", ["dup_by_key", "groups", "null"])
+def test_no_task_holds_a_crowded_key(spark, tmp_path, operator):
+    """Half of the rows under one key: no task gets over twice a task's share of the rows."""
+    n, parts = 400_000, 16
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts), "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        key = F.when(F.col("id") % 2 == 0, F.lit("hot") if operator != "null" else F.lit(None).cast("string")).otherwise(F.col("id").cast("string"))
+        if operator == "groups":
+            edges = stage(spark.range(1, n).select(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") - 1).alias("b"), F.col("id").alias("a")), "edges")
+            out = _attach_minimum(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        else:
+            jobs = stage(spark.range(n).select(F.col("id").alias("job_id"), key.alias("k"), F.lit(None).cast("date").alias("posted_at")), "jobs")
+            out = dup_by_key(jobs, ["k"])
+        sizes = [r["count"] for r in rows_per_task(out, tmp_path, operator).collect()]
+        assert sum(sizes) >= n - 1 and max(sizes) <= 2 * n / parts
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
