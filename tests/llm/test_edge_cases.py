@@ -110,7 +110,10 @@ def test_no_window_is_left_out_that_alignment_would_report(monkeypatch):
     item = rng.integers(0, 9, 20).astype(np.uint64)
     windows = rng.integers(0, 14, (200, 33)).astype(np.uint64)
     widths = rng.integers(1, 34, 200)
-    assert (decontaminate.reachable(windows, widths, item) >= decontaminate.align(windows, widths, item)[0]).all()
+    table, starts = decontaminate.WordTable([item[:3], item]), np.arange(200) * 33
+    bound = table.reachable(np.ones(200, int), starts, widths, windows.ravel())
+    assert (bound >= decontaminate.align(windows, widths, item)[0]).all()
+    assert (table.reachable(np.zeros(200, int), starts, widths, windows.ravel()) <= 6).all()
     shared = [" ".join(f"w{v}" for v in rng.integers(0, 4, 30)) for _ in range(20)]
     items = decontaminate.Items(list(range(20)), shared)
 
