@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peneira.session import stage
+
 WORK_PER_CELL = 2_000_000
 ROWS_PER_CELL = 2_000
 PARTS_PER_TASK = 16
@@ -86,16 +88,11 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(table, list(keys), "left")
 
 
-def crowded_keys(counts: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
-    """Keys of a table of counts with more rows than a small part of a task's share, and in how many parts each is dealt (``_salts``).
-
-    Parts meet tasks by hash, so there are several per task to even out. There are fewer such
-    keys than PARTS_PER_TASK times the shuffle partitions, so they may be broadcast.
-    """
+def _share(counts: DataFrame, size: str) -> tuple[float, float]:
+    """Rows from which a key is crowded, a small part of a task's share, and the rows of the largest key."""
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = counts.agg(F.sum(size)).first()[0] or 0
-    share = max(ROWS_PER_CELL, total / (PARTS_PER_TASK * parts))
-    return counts.where(F.col(size) > share).select(*keys, F.ceil(F.col(size) / share).cast("int").alias("_salts"))
+    found = counts.agg(F.sum(size).alias("total"), F.max(size).alias("most")).first()
+    return max(ROWS_PER_CELL, (found["total"] or 0) / (PARTS_PER_TASK * parts)), found["most"] or 0
 
 
 def present(keys: Sequence[str]) -> Column:
@@ -109,21 +106,28 @@ def present(keys: Sequence[str]) -> Column:
 def spread_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], spread: Column, size: str | None = None) -> DataFrame:
     """``lookup`` that deals a crowded key's rows over several tasks by ``spread``.
 
-    The one row of ``table`` is repeated for each of them. Rows with a null key, which match
-    nothing, are dealt over all tasks. ``size`` names a column of ``table`` that holds how many rows of
-    ``df`` have the key; both should be stored tables then. Without it ``df`` is read once more
+    A key with more rows than a sixteenth of a task's share is crowded: its rows go to as many parts,
+    several per task to even out, and the one row of ``table`` is repeated for each. There are
+    fewer such keys than PARTS_PER_TASK times the shuffle partitions, so they are broadcast. Rows with a
+    null key, which match nothing, are dealt over all tasks. Where no key is crowded this is
+    ``lookup``. ``size`` names a column of ``table`` that holds how many rows of ``df`` have the
+    key; both should be stored tables then, and ``df`` have no null keys. Without it ``df`` is read once more
     to count them, with one row per key and task shuffled.
     """
     if size is None:
-        counts, size = df.where(present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n"
+        counts, size = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-counts"), "_n"
     else:
         counts = table.select(*keys, size)
-    crowded = F.broadcast(crowded_keys(counts, keys, size))
+    share, most = _share(counts, size)
+    if most <= share:
+        return lookup(df, table, keys)
+    salts = F.ceil(F.col(size) / share).cast("int").alias("_salts")
+    crowded = F.broadcast(counts.where(present(keys) & (F.col(size) > share)).select(*keys, salts))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = F.coalesce("_salts", F.lit(1))
-    many = F.when(present(keys), salts).otherwise(F.lit(parts))
+    several = F.coalesce("_salts", F.lit(1))
+    many = F.when(present(keys), several).otherwise(F.lit(parts))
     left = df.join(crowded, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), many).cast("int")).drop("_salts")
-    right = table.join(crowded, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    right = table.join(crowded, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), several - 1))).drop("_salts")
     # The salt is part of the key, so a key's rows are not brought together, however ``table`` was made.
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
 

@@ -315,6 +315,13 @@ oracle("src9_sync_summary", """SELECT S.label, S.status AS source_status, max(re
     CAST(0 AS BIGINT) AS n_new, count_if(MS.status = 'failed') AS n_failed FROM S LEFT JOIN MS ON MS.label = S.label GROUP BY S.label, S.status""")
 oracle("src10_write_table", """SELECT profile_id, job_id, score + CASE WHEN max(score) OVER (PARTITION BY profile_id) >= 80 THEN 1000 ELSE 0 END AS score, classification FROM G""")
 
+oracle("src10_store_jobs", """SELECT job_id, message_id, title, company, posted_at,
+    CAST(CASE WHEN posted_at >= DATE '2001-01-01' THEN 2 ELSE 1 END AS INT) AS parser_version FROM J""")
+oracle("src10_store_analyses", """SELECT AP.profile_id, AP.job_id, AP.score, AP.classification, reason,
+    CAST(P.version + CASE WHEN AP.profile_id % 10 = 3 THEN 1 ELSE 0 END AS INT) AS profile_version
+    FROM AP JOIN RSN ON RSN.profile_id = AP.profile_id AND RSN.job_id = AP.job_id JOIN P ON P.profile_id = AP.profile_id""")
+oracle("src10_store_materials", """SELECT profile_id, job_id, kind, lang, md5(CASE WHEN lang = 'pt' THEN 'v2 ' || body ELSE body END) AS body_md5 FROM DR""")
+
 oracle("prf1_load_profiles", """SELECT profile_id, full_name, email, current_role, location, material_lang, summary, version,
     array_to_string(list_sort(roles), '; ') AS roles, array_to_string(list_sort(technologies), '; ') AS technologies, min_score, coalesce(max_age_days, 30) AS max_age_days FROM P""")
 oracle("prf2_save_profiles", """SELECT profile_id, CASE WHEN c_acctbal < 0 THEN 'Resumo revisto' ELSE summary END AS summary,

@@ -31,6 +31,7 @@ from peneira.sources import messages as M
 from peneira.sources.known_ids import open_ids
 from peneira.sources import registry as R
 from peneira.sources import tables as W
+from peneira.sources import versions
 from peneira.standin import views as V
 from peneira.streaming.sync import RUNS, sync_stream
 
@@ -273,6 +274,41 @@ def src10_write_table(spark, d):
     return spark.read.parquet(path).drop("bucket")
 
 
+def _versions(spark, d, name: str, first: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
+    """A stored table after its first version and a merge."""
+    path = scratch_path(spark, f"{name}-versions")
+    versions.create(first, path, keys)
+    versions.merge(changed, path, keys)
+    return versions.read_version(spark, path)
+
+
+@query
+def src10_store_jobs(spark, d):
+    """Jobs as stored after the postings of the last months were read again."""
+    jobs = V.jobs(spark, d).select("job_id", "message_id", "title", "company", "posted_at", F.lit(1).alias("parser_version"))
+    again = jobs.where(F.col("posted_at") >= F.to_date(F.lit("2001-01-01"))).withColumn("parser_version", F.lit(2))
+    return _versions(spark, d, "jobs", jobs, again, ["job_id"])
+
+
+@query
+def src10_store_analyses(spark, d):
+    """Analyses of the listed pairs, those of some profiles written again."""
+    at = F.to_timestamp(F.lit("2001-09-01 00:00:00"))
+    done = S.analyses(explained(spark, d, listed(spark, d)), at).select("profile_id", "job_id", "score", "classification", "reason", "profile_version")
+    again = done.where("profile_id % 10 = 3").withColumn("profile_version", F.col("profile_version") + 1)
+    return _versions(spark, d, "analyses", done, again, ["profile_id", "job_id"])
+
+
+@query
+def src10_store_materials(spark, d):
+    """Drafts, the Portuguese ones written again."""
+    drafts = _materials(spark, d).select("profile_id", "job_id", "kind", "lang", "body")
+    again = drafts.where("lang = 'pt'").withColumn("body", F.concat(F.lit("v2 "), "body"))
+    return _versions(spark, d, "materials", drafts, again, ["profile_id", "job_id", "kind"]).select(
+        "profile_id", "job_id", "kind", "lang", F.md5("body").alias("body_md5")
+    )
+
+
 # --- profiles
 
 
