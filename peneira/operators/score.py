@@ -203,9 +203,12 @@ def candidate_pairs(
     counts: DataFrame,
     threshold: Column,
     weights: Weights = DEFAULTS.weights,
+    admitted: Column | None = None,
 ) -> DataFrame:
     """Pairs that share a looked-up feature and whose score bound reaches ``threshold``.
 
+    ``admitted`` is a cheap condition on both sides that is asked first, as of a posting's age.
+
     With the probes of threshold 0 these are all pairs sharing any positive term; every
     other pair scores exactly 0. A pair appears once per looked-up feature it shares;
     ``with_shares`` keeps it at the first of them, so no distinct over the pairs is needed.
@@ -227,6 +230,8 @@ def candidate_pairs(
         offered, wanting, ["code"], F.col("job_id"), F.col("profile_id"),
         hot_keys(sizes, ["code"]), partitions,
     )
+    if admitted is not None:
+        pairs = pairs.where(admitted)
     return pairs.where(score_bound(weights) >= threshold - ROUNDING_SLACK).drop(
         *[c for c in pairs.columns if c.startswith(("mask_", "signature_"))]
     )

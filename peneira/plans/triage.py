@@ -18,6 +18,10 @@ from peneira.operators.similarity import near_dup_pairs
 from peneira.session import stage
 
 
+# Share of profiles still open after a round from which further rounds before the last don't pay.
+LEAST_LEFT = 0.7
+
+
 @dataclass(frozen=True)
 class Inputs:
     """Feature tables every scoring run starts from, written once."""
@@ -54,19 +58,19 @@ def review_threshold(settings: Settings = DEFAULTS) -> Column:
     return F.lit(float(settings.review_cutoff))
 
 
-def candidates(inputs: Inputs, threshold: Column, settings: Settings = DEFAULTS) -> DataFrame:
-    """Pairs that may reach ``threshold``."""
+def candidates(inputs: Inputs, threshold: Column, settings: Settings = DEFAULTS, admitted: Column | None = None) -> DataFrame:
+    """Pairs that may reach ``threshold``, of those that are ``admitted``."""
     probes = stage(
         S.probe_features(inputs.profiles, inputs.counts, threshold, settings.weights), "probes"
     )
     return S.candidate_pairs(
-        inputs.postings, inputs.profiles, probes, inputs.counts, threshold, settings.weights
+        inputs.postings, inputs.profiles, probes, inputs.counts, threshold, settings.weights, admitted
     )
 
 
-def score(inputs: Inputs, threshold: Column, settings: Settings = DEFAULTS) -> DataFrame:
-    """Every pair at or above ``threshold``, scored and classified."""
-    return S.score_candidates(candidates(inputs, threshold, settings), threshold, settings)
+def score(inputs: Inputs, threshold: Column, settings: Settings = DEFAULTS, admitted: Column | None = None) -> DataFrame:
+    """Every pair at or above ``threshold``, of those that are ``admitted``, scored and classified."""
+    return S.score_candidates(candidates(inputs, threshold, settings, admitted), threshold, settings)
 
 
 def rescore(
@@ -124,22 +128,28 @@ def best_jobs(found: Classes, as_of: Column, k: int, settings: Settings = DEFAUL
 
     Rounds go down from high scores to the cut-off. A round finds all pairs of classes at or above its score for
     the profiles still open; whoever has k active postings by then is settled, since whatever
-    is left scores less. What is kept is at most k postings per profile; a class of postings counts as one.
+    is left scores less. A round that settles few is the last but one: the next takes the cut-off.
+    Postings too old for a profile are passed over before anything else of the pair is looked
+    at. What is kept is at most k postings per profile; a class of postings counts as one.
     """
     postings = found.posting_heads.where("not hidden").drop("class", "members", "hidden", "n_postings")
     counts = stage(S.feature_counts(postings), "feature-counts")
     open_, ranked = found.profile_heads.drop("class", "n_profiles"), None
-    for step in (*[s for s in settings.rank_steps if s > settings.review_cutoff], settings.review_cutoff):
-        pairs = _resolved(score(Inputs(postings, open_, counts), F.lit(float(step)), settings), as_of)
+    steps = [*(s for s in settings.rank_steps if s > settings.review_cutoff), settings.review_cutoff]
+    while steps:
+        step = steps.pop(0)
+        pairs = _resolved(score(Inputs(postings, open_, counts), F.lit(float(step)), settings, ~C.stale(as_of)), as_of)
         top = stage(K.ranked_members(pairs.where("status = 'active'"), found.posting_heads, k), f"ranked-{step}")
-        last = step == settings.review_cutoff
         settled = top.where(F.col("rank") == k).select("profile_id")
-        part = top if last else top.join(settled, "profile_id", "left_semi")
+        part = top.join(settled, "profile_id", "left_semi") if steps else top
         ranked = part if ranked is None else ranked.unionByName(part)
-        if not last:
-            open_ = stage(open_.join(settled, "profile_id", "left_anti"), "open-profiles")
-            if open_.isEmpty():
+        if steps:
+            before, open_ = open_.count(), stage(open_.join(settled, "profile_id", "left_anti"), "open-profiles")
+            left = open_.count()
+            if not left:
                 break
+            if left > LEAST_LEFT * before:
+                steps = steps[-1:]
     heads = found.profile_heads.select("class", F.col("profile_id").alias("_head"))
     members = found.profiles.select("profile_id", "class").join(heads, "class").drop("class")
     return members.join(ranked.withColumnRenamed("profile_id", "_head"), "_head").drop("_head")
