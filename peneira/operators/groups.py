@@ -62,6 +62,8 @@ def dup_groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     edges = stage(pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct(), "edges")
     after = _fingerprint(edges)
     for _ in range(MAX_ROUNDS):
+        if not after[0]:  # no links, so no groups
+            break
         edges = stage(_star_round(edges), "edges")
         before, after = after, _fingerprint(edges)
         if before == after:

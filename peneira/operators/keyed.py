@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peneira.session import stage
-
 WORK_PER_CELL = 2_000_000
 ROWS_PER_CELL = 2_000
 PARTS_PER_TASK = 16
@@ -115,7 +113,7 @@ def spread_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], spread:
     to count them, with one row per key and task shuffled.
     """
     if size is None:
-        counts, size = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-counts"), "_n"
+        counts, size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n"
     else:
         counts = table.select(*keys, size)
     share, most = _share(counts, size)
