@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peneira.operators.keyed import spread_lookup
 from peneira.session import stage
+from peneira.sources import versions
 
 MAX_ROUNDS = 50
 
@@ -73,3 +75,68 @@ def dup_groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     members = edges.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("group_id")).distinct()
     return members.union(roots)
+
+
+class StoredGroups:
+    """Groups under ``path`` that batches of new links extend.
+
+    A member keeps the label it was first given; when groups meet, only the labels that lose
+    their place are written anew, so a batch costs what it holds and not what is stored: members are
+    read beside the batch's ids, never shuffled or rewritten. ``labels`` leads from a label to the
+    group's smallest member in one step.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, id_type: str = "string"):
+        self.spark, self.path, self.id_type = spark, path.rstrip("/"), id_type
+
+    def members(self) -> DataFrame:
+        """``id, label`` of every id some link named."""
+        schema = f"id {self.id_type}, label {self.id_type}"
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/members")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def labels(self) -> DataFrame:
+        """``label, group_id`` of labels whose group has been joined to another."""
+        if not versions.latest_version(self.spark, f"{self.path}/labels"):
+            return self.spark.createDataFrame([], f"label {self.id_type}, group_id {self.id_type}")
+        return versions.read_version(self.spark, f"{self.path}/labels")
+
+    def _resolved(self, members: DataFrame) -> DataFrame:
+        found = spread_lookup(members, self.labels(), ["label"], F.col("id"))
+        return found.select("id", F.coalesce("group_id", "label").alias("group_id"))
+
+    def groups(self) -> DataFrame:
+        """``id, group_id`` of every id linked so far, as ``dup_groups`` of all links gives them."""
+        return self._resolved(self.members())
+
+    def add(self, pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> None:
+        """Take in links; a link with a null end, or of an id to itself, says nothing.
+
+        The ends of a link are replaced by their groups' labels, and only labels are joined to
+        groups anew. Labels are written before members: an add that is broken off leaves true
+        statements, and the same links added again complete it.
+        """
+        links = stage(
+            pairs.select(F.col(a).cast(self.id_type).alias("a"), F.col(b).cast(self.id_type).alias("b")).where("a != b").distinct(), "links"
+        )
+        ends = stage(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "link-ends")
+        known = stage(self.members().join(ends, "id", "left_semi"), "known-members")
+        old = self._resolved(known).groupBy("id").agg(F.min("group_id").alias("old"))
+        roots = stage(ends.join(old, "id", "left").select("id", F.coalesce("old", "id").alias("root"), F.col("old").isNull().alias("is_new")), "roots")
+        for end in ("a", "b"):
+            named = roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
+            links = spread_lookup(links, named, [end], F.col("b" if end == "a" else "a"))
+        met = dup_groups(links, "root_a", "root_b").where("id != group_id")
+        moved = stage(met.select(F.col("id").alias("label"), "group_id"), "moved-labels")
+        # Ids that are new have no label to move: they are given the last one below.
+        stored = roots.where("not is_new").select(F.col("root").alias("label")).distinct()
+        onward = moved.select(F.col("label").alias("group_id"), F.col("group_id").alias("next"))
+        led = self.labels().join(onward, "group_id").select("label", F.col("next").alias("group_id"))
+        changed = stage(moved.join(stored, "label", "left_semi").unionByName(led), "changed-labels")
+        versions.merge(changed, f"{self.path}/labels", ["label"])
+        fresh = roots.where("is_new").select("id").join(moved.select(F.col("label").alias("id"), F.col("group_id")), "id", "left")
+        fresh.select("id", F.coalesce("group_id", "id").alias("label")).write.mode("append").parquet(f"{self.path}/members")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from peneira.config import HYBRID, ON_SITE, REMOTE
 from peneira.functions.once import computed, let
-from peneira.functions.text import term_text, tokens, with_ngrams
+from peneira.functions.text import term_text, tokens
 from peneira.operators.keyed import broadcast_if_bounded
+from peneira.session import stage
 
 MAX_BROADCAST_TERMS = 500_000
+MAX_HEADS = 5_000
 
 # Words that state a label, tried in this order on normalised text.
 MODALITY_WORDS = (
@@ -68,30 +70,49 @@ def tag_seniority(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("seniority", seniority(posting_text("title", "description")))
 
 
-def term_sizes(dictionary: DataFrame) -> list[int]:
-    """Word counts that occur among the dictionary's terms: a handful of numbers."""
-    words = F.size(F.split("term_norm", " ")).alias("words")
-    return sorted(r["words"] for r in dictionary.select(words).distinct().collect())
+def term_heads(dictionary: DataFrame) -> dict[int, list[str] | None]:
+    """First words of the dictionary's terms by the number of words in a term.
+
+    None in place of the words of a number that has more than MAX_HEADS of them.
+    """
+    words = F.split("term_norm", " ")
+    heads = dictionary.where(F.col("term_norm").isNotNull()).select(F.size(words).alias("words"), words[0].alias("head")).distinct()
+    heads = stage(heads, "heads")
+    counts = {r["words"]: r["n"] for r in heads.groupBy("words").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = [n for n in counts if counts[n] <= MAX_HEADS]
+    found: dict[int, list[str] | None] = {n: [] if n in few else None for n in sorted(counts)}
+    for r in heads.where(F.col("words").isin(few)).collect():
+        found[r["words"]].append(r["head"])
+    return found
+
+
+def _runs(words: Column, n: int, heads: list[str] | None) -> Column:
+    """Distinct runs of ``n`` words that begin with one of ``heads``; the others are no term and are not made."""
+    whole = lambda i: i + n <= F.size(words)
+    starts = (lambda w, i: whole(i)) if heads is None else (lambda w, i: w.isin(heads) & whole(i))
+    run = (lambda w, i: w) if n == 1 else (lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+    return F.array_distinct(F.array_compact(F.transform(words, lambda w, i: F.when(starts(w, i), run(w, i)))))
 
 
-def _grams(df: DataFrame, key: str, fields: dict[str, str], sizes: list[int]) -> DataFrame:
-    """(key, field, term_norm): the distinct runs of ``sizes`` words of each named text column."""
-    longer = [n for n in sizes if n > 1]
+def _hits(df: DataFrame, key: str, fields: dict[str, str], dictionary: DataFrame) -> DataFrame:
+    """``key, field`` and the dictionary's columns: the terms in each named text column, once each.
+
+    A run of words is made only where a term's first word stands, then looked up as a whole.
+    """
     rows = computed(
         df.select(key, *set(fields.values())),
         **{f"_{name}": tokens(term_text(F.col(c))) for name, c in fields.items()},
     )
-    for name in fields:
-        rows = with_ngrams(rows, f"_{name}", longer, f"_{name}_")
+    heads = term_heads(dictionary)
+    if not heads:
+        return rows.select(key, F.lit("").alias("field"), F.lit("").alias("term_norm")).limit(0).join(dictionary, "term_norm")
 
     def entries(name: str) -> Column:
-        runs = [f"_{name}", *[f"_{name}_{n}" for n in longer]]
-        return F.transform(
-            F.array_distinct(F.concat(*runs)),
-            lambda g: F.struct(F.lit(name).alias("field"), g.alias("term_norm")),
-        )
+        runs = F.concat(*[_runs(F.col(f"_{name}"), n, words) for n, words in heads.items()])
+        return F.transform(runs, lambda g: F.struct(F.lit(name).alias("field"), g.alias("term_norm")))
 
-    return rows.select(key, F.inline(F.concat(*map(entries, fields))))
+    found = rows.select(key, F.inline(F.concat(*map(entries, fields))))
+    return found.join(broadcast_if_bounded(dictionary, MAX_BROADCAST_TERMS), "term_norm")
 
 
 def term_dictionary(profile_terms: DataFrame) -> DataFrame:
@@ -110,9 +131,16 @@ def tag_terms(jobs: DataFrame, dictionary: DataFrame) -> DataFrame:
     are as long as the dictionary's terms, whatever that is. While the dictionary can be
     broadcast only hits enter a shuffle, beyond that the runs do; the texts never.
     """
-    hits = _grams(jobs, "job_id", {"title": "title", "body": "description"}, term_sizes(dictionary)).join(
-        broadcast_if_bounded(dictionary, MAX_BROADCAST_TERMS), "term_norm"
-    )
+    return found_terms(term_hits(jobs, dictionary))
+
+
+def term_hits(jobs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``job_id, field, term_norm, is_technology``: every term a posting's title or body holds."""
+    return _hits(jobs, "job_id", {"title": "title", "body": "description"}, dictionary)
+
+
+def found_terms(hits: DataFrame) -> DataFrame:
+    """One row per posting of ``term_hits``: ``job_id, terms, title_terms, technologies``."""
     return hits.groupBy("job_id").agg(
         F.sort_array(F.collect_set("term_norm")).alias("terms"),
         F.sort_array(
@@ -137,9 +165,7 @@ def tag_location(jobs: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     A remote posting also answers for "remoto global" and "remoto <place>".
     """
-    hits = _grams(jobs, "job_id", {"place": "location"}, term_sizes(dictionary)).join(
-        broadcast_if_bounded(dictionary, MAX_BROADCAST_TERMS), "term_norm"
-    )
+    hits = _hits(jobs, "job_id", {"place": "location"}, dictionary)
     found = hits.groupBy("job_id").agg(F.collect_set("key").alias("found"))
     keys = F.coalesce("found", F.array().cast("array<string>"))
     remote = F.when(
@@ -156,33 +182,42 @@ def tag_location(jobs: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
-def job_features(
-    jobs: DataFrame, dictionary: DataFrame, places: DataFrame, flags: DataFrame | None = None
-) -> DataFrame:
-    """One narrow row per posting with everything scoring compares; no raw text.
-
-    ``flags`` is a table of further per-posting columns to carry along, keyed by ``job_id``.
-    """
+def posting_facts(jobs: DataFrame) -> DataFrame:
+    """What scoring needs of a posting besides its terms, read from its texts once."""
     whole = posting_text("title", "location", "description")
     body = posting_text("title", "description")
-    facts = jobs.select(
+    return jobs.select(
         "job_id",
         "posted_at",
-        F.col("title"),
-        F.col("company"),
+        "title",
+        "company",
         "location",
-        "description",
         modality(whole).alias("modality"),
         seniority(body).alias("seniority"),
         contract(body).alias("contract"),
     )
-    terms = tag_terms(facts, dictionary)
+
+
+def job_features(
+    jobs: DataFrame, dictionary: DataFrame, places: DataFrame, flags: DataFrame | None = None
+) -> DataFrame:
+    """One narrow row per posting with everything scoring compares; no raw text.
+
+    ``flags`` is a table of further per-posting columns to carry along, keyed by ``job_id``.
+    """
+    return features_of(posting_facts(jobs), tag_terms(jobs, dictionary), places, flags)
+
+
+def features_of(
+    facts: DataFrame, terms: DataFrame, places: DataFrame, flags: DataFrame | None = None
+) -> DataFrame:
+    """``job_features`` from ``posting_facts`` and the rows of ``tag_terms``, both perhaps stored."""
     places_found = tag_location(facts, location_dictionary(places))
     labels = F.filter(
         F.array(term_text("modality"), term_text("seniority")), lambda t: t.isNotNull()
     )
     none = F.array().cast("array<string>")
-    narrow = facts.drop("description", "location")
+    narrow = facts.drop("location")
     carried = []
     if flags is not None:
         narrow = narrow.join(flags, "job_id", "left")

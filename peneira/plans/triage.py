@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from peneira.operators import score as S
 from peneira.operators import tagging as T
 from peneira.operators.keyed import lookup
 from peneira.operators.similarity import near_dup_pairs
+from peneira.operators.term_index import TermIndex
 from peneira.session import stage
 
 
@@ -38,16 +40,30 @@ def near_links(texts: DataFrame, id_col: str = "job_id", text_col: str = "descri
 
 
 def prepare(
-    jobs: DataFrame, profiles: DataFrame, places: DataFrame, settings: Settings = DEFAULTS, links: DataFrame | None = None
+    jobs: DataFrame,
+    profiles: DataFrame,
+    places: DataFrame,
+    settings: Settings = DEFAULTS,
+    links: DataFrame | None = None,
+    index: TermIndex | None = None,
 ) -> Inputs:
     """Tag and clean the postings and normalise the preferences.
 
     Postings that share a link or company, title and location are one group of duplicates;
-    ``links`` joins further ones, as of near-equal texts (``near_links``).
+    ``links`` joins further ones, as of near-equal texts (``near_links``). With an ``index`` that
+    holds the postings nothing is read from their texts again: only terms the index
+    does not know yet are looked for, in its words.
     """
     terms = P.profile_terms(profiles, settings.weights)
     dictionary = stage(T.term_dictionary(terms), "dictionary")
-    features = T.job_features(jobs, dictionary, places, C.job_flags(jobs, links))
+    flags = C.job_flags(jobs, links)
+    if index is None:
+        features = T.job_features(jobs, dictionary, places, flags)
+    else:
+        index.add_terms(dictionary, uuid.uuid4().hex)
+        held = jobs.select("job_id")
+        facts = index.facts().join(held, "job_id", "left_semi")
+        features = T.features_of(facts, index.tags(dictionary), places, flags)
     postings = stage(S.posting_features(features), "postings")
     wide = S.scoring_profiles(P.profile_features(profiles), settings.weights)
     return Inputs(postings, stage(wide, "profiles"), S.feature_counts(postings))

@@ -499,3 +499,10 @@ oracle("cln8_status_near_texts", """SELECT profile_id, job_id, status, array_to_
 ORACLE["scr15_rank_near_texts"] = ORACLE["scr15_rank_jobs"]
 for _key in ("cln8_status_near_texts", "scr15_rank_near_texts"):
     ORACLE[_key] = ORACLE[_key].replace(f"DG AS MATERIALIZED ({CTES['DG']})", f"{_NEAR_TEXTS}, DG AS MATERIALIZED ({_NEAR_GROUPS})")
+
+# Batch by batch the same rows come out as at once.
+for _key, _whole in (
+    ("ext13_tag_stored", "ext13_tag_terms"), ("cln3_pairs_in_batches", "cln3_near_dup_pairs"),
+    ("cln4_groups_in_batches", "cln4_dup_groups"), ("scr16_rescore_stored", "scr16_rescore"),
+):
+    ORACLE[_key] = ORACLE[_whole]

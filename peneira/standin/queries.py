@@ -22,9 +22,11 @@ from peneira.operators import ops as O
 from peneira.operators import profiles as P
 from peneira.operators import score as S
 from peneira.operators import tagging as T
-from peneira.operators.groups import dup_groups
+from peneira.operators.groups import StoredGroups, dup_groups
 from peneira.operators.keyed import keep_first, lookup
+from peneira.operators.near_index import NearIndex
 from peneira.operators.similarity import near_dup_pairs
+from peneira.operators.term_index import TermIndex
 from peneira.plans import triage
 from peneira.session import scratch_path, stage
 from peneira.sources import messages as M
@@ -456,6 +458,36 @@ def ext13_tag_terms(spark, d):
     )
 
 
+def _newer() -> Column:
+    """Whether a posting came with the last batch."""
+    return F.coalesce(F.col("posted_at") >= F.to_date(F.lit("2001-01-01")), F.lit(False))
+
+
+def _index(spark, d) -> TermIndex:
+    """All postings in two batches; the technologies are known before the second comes, the other terms after it."""
+
+    def build() -> TermIndex:
+        index, jobs = TermIndex(spark, scratch_path(spark, "term-index")), V.jobs(spark, d)
+        dictionary = stage(T.term_dictionary(P.profile_terms(V.profiles(spark, d))), "dictionary")
+        index.add_postings(jobs.where(~_newer()), "older")
+        index.add_terms(dictionary.where("is_technology"), "technologies")
+        index.add_postings(jobs.where(_newer()), "newer")
+        index.add_terms(dictionary, "all")
+        return index
+
+    return _once(spark, d, "term-index", build)
+
+
+@query
+def ext13_tag_stored(spark, d):
+    """Terms of all postings by the stored index."""
+    tags = _index(spark, d).tags(T.term_dictionary(P.profile_terms(V.profiles(spark, d))))
+    return tags.select(
+        "job_id", joined("terms").alias("terms"), joined("title_terms").alias("title_terms"),
+        joined("technologies").alias("technologies"),
+    )
+
+
 @query
 def ext14_tag_modality(spark, d):
     return T.tag_modality(V.jobs(spark, d)).select("job_id", "modality")
@@ -507,12 +539,36 @@ def cln3_near_dup_pairs(spark, d):
 
 
 @query
-def cln4_dup_groups(spark, d):
-    """Groups over links by address, by content and by near-equal text."""
+def cln3_pairs_in_batches(spark, d):
+    """The same from an index that takes in the documents in two batches, earlier ids first."""
+    docs = V.table(spark, d, "documents")
+    late = F.coalesce(F.col("doc_id") > docs.agg(F.max("doc_id") / 2).scalar(), F.lit(False))
+    index = NearIndex(spark, scratch_path(spark, "near-index"))
+    first = index.add(docs.where(~late), "doc_id", "text", "early")
+    return first.unionByName(index.add(docs.where(late), "doc_id", "text", "late"))
+
+
+def _duplicate_links(spark, d) -> DataFrame:
+    """Links by address, by content and by near-equal text."""
     texts = _near(spark, d).select(
         F.concat(F.lit("d"), "id_a").alias("id_a"), F.concat(F.lit("d"), "id_b").alias("id_b")
     )
-    return dup_groups(C.duplicate_links(V.jobs(spark, d)).union(texts))
+    return C.duplicate_links(V.jobs(spark, d)).union(texts)
+
+
+@query
+def cln4_dup_groups(spark, d):
+    """Groups over links by address, by content and by near-equal text."""
+    return dup_groups(_duplicate_links(spark, d))
+
+
+@query
+def cln4_groups_in_batches(spark, d):
+    """The same groups, stored, when all these links come dealt into three batches."""
+    links, groups = stage(_duplicate_links(spark, d), "all-links"), StoredGroups(spark, scratch_path(spark, "groups"))
+    for part in range(3):
+        groups.add(links.where(F.pmod(F.xxhash64("id_a", "id_b"), F.lit(3)) == part))
+    return groups.groups()
 
 
 @query
@@ -699,6 +755,16 @@ def scr16_rescore(spark, d):
     return found.select("profile_id", "job_id", "score", "classification")
 
 
+@query
+def scr16_rescore_stored(spark, d):
+    """The same from stored words and facts: no posting's text is read again."""
+    changed = V.profiles(spark, d).where("salary_expectation < 0")
+    new = V.jobs(spark, d).where(F.col("posted_at") >= F.to_date(F.lit("2001-06-01")))
+    stored = triage.prepare(V.jobs(spark, d), V.profiles(spark, d), V.places(spark, d), index=_index(spark, d))
+    found = triage.rescore(stored, changed, new, triage.review_threshold())
+    return found.select("profile_id", "job_id", "score", "classification")
+
+
 # --- lists and detail
 
 
