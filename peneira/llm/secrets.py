@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peneira.functions.once import let
 from peneira.llm.common import spread_join, whole_text
 from peneira.session import scratch_path, stage
 
@@ -49,28 +50,73 @@ def _spans(text: Column, rule: Rule) -> Column:
     """``array<struct<start, stop>>`` of a rule's matches, in code points, end exclusive.
 
     Matches and the pieces between them come from the same pattern, so their lengths add up
-    to every match's place.
+    to every match's place. The work is linear in the text and its matches.
     """
     pattern = _SEARCHED.get(rule.kind, rule.pattern)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(matches.alias("match"), F.slice(between, F.lit(1), F.size(matches)).alias("before")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,stop:long>>").alias("spans")),
-        lambda acc, m: _next(acc, m, rule),
-    )
-    empty = F.array().cast("array<struct<start:long,stop:long>>")
-    return F.when(F.rlike(text, F.lit(_WORTH[rule.kind])), placed["spans"]).otherwise(empty)
+    pieces = F.arrays_zip(matches.alias("match"), F.slice(between, F.lit(1), F.size(matches)).alias("before"))
+    measured = F.transform(pieces, lambda p: _measured(p, rule))
+    spans = let(measured, _placed)
+    return F.when(F.rlike(text, F.lit(_WORTH[rule.kind])), spans).otherwise(F.array().cast(_SPANS))
+
+
+_SPANS = "array<struct<start:long,stop:long>>"
+# Sums are taken in blocks of this many values and, this many levels deep, over blocks of blocks.
+_BLOCK, _LEVELS = 64, 3
 
 
-def _next(acc: Column, m: Column, rule: Rule) -> Column:
-    match, before = m["match"], m["before"]
-    start = acc["at"] + F.length(before)
-    stop = start + F.length(match)
+def _measured(piece: Column, rule: Rule) -> Column:
+    """Lengths of what stands before a match and of the match, and whether it is long enough to count."""
+    match = piece["match"]
     value = match if rule.group == 0 else F.regexp_extract(match, rule.pattern, rule.group)
-    span = F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"))
-    spans = F.when(F.length(value) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-    return F.struct(stop.cast("long").alias("at"), spans.alias("spans"))
+    return F.struct(
+        F.length(piece["before"]).cast("long").alias("before"), F.length(match).cast("long").alias("own"), (F.length(value) >= rule.least).alias("counts")
+    )
+
+
+def _placed(measured: Column) -> Column:
+    bases = sums_before(F.transform(measured, lambda m: m["before"] + m["own"]))
+    all_spans = F.zip_with(
+        measured,
+        bases,
+        lambda m, at: F.struct((at + m["before"]).alias("start"), (at + m["before"] + m["own"]).alias("stop"), m["counts"].alias("counts")),
+    )
+    return F.transform(F.filter(all_spans, lambda s: s["counts"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+
+
+def _scan(values: Column, base: Column) -> Column:
+    """``base`` plus the sum before each of a few values; every step copies what it has so far."""
+    grown = F.aggregate(
+        values,
+        F.struct(base.alias("at"), F.array().cast("array<long>").alias("out")),
+        lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+    )
+    return grown["out"]
+
+
+def sums_before(values: Column, levels: int = _LEVELS) -> Column:
+    """The sum of all values before each value of an ``array<long>``.
+
+    An array can't be extended in place, so a plain running sum copies the square of its length.
+    Here arrays of at most a block are extended, and blocks' totals are summed the same way: the
+    work is in proportion to the length, beyond ``_BLOCK ** (_LEVELS + 1)`` values, about
+    16 million, somewhat more.
+    """
+    if not levels:
+        return _scan(values, F.lit(0).cast("long"))
+
+    def in_blocks(all_values: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(all_values) / _BLOCK).cast("int"))
+        return F.filter(
+            F.transform(numbers, lambda k: F.slice(all_values, k * _BLOCK + 1, F.lit(_BLOCK))), lambda block: F.size(block) > 0
+        )
+
+    def scanned(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda acc, v: acc + v))
+        return F.flatten(F.zip_with(blocks, sums_before(totals, levels - 1), _scan))
+
+    return let(values, lambda v: let(in_blocks(v), scanned))
 
 
 def _tagged(k: int, rule: Rule) -> Callable[[Column], Column]:
