@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
 
+import time
+
 import numpy as np
 import pytest
 from corpus_fixtures import ROWS, SCHEMA, WORDS, clashing, docs, empty, found, sentence  # noqa: F401
@@ -166,6 +168,21 @@ def test_dedup_state_goes_on_over_batches(spark, docs):
     assert before[one] == 1 and after[one] == (4, "second", 4)
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.digest, lambda text: F.lit("same"), lambda text: F.substring(exact_dedup.digest(text), 1, 1)])
+def test_dedup_follows_locators_over_batches(spark, docs, digest):
+    """Texts that share a weak digest, in one batch or over several, never count as copies."""
+    ledger = exact_dedup.Ledger(spark, scratch_path(spark, "ledger-test"), digest)
+    for name, part in (("first", "doc_id <= 4"), ("second", "doc_id between 5 and 9"), ("third", "doc_id > 9 or doc_id is null")):
+        ledger.add(docs.where(part), name)
+    # Row 3 again, and a text not seen before.
+    ledger.add(spark.createDataFrame([(3, ROWS[2][1]), (77, "new")], "doc_id long, text string"), "fourth")
+    groups = {}
+    for doc_id, text, *_ in [*ROWS, (3, ROWS[2][1]), (77, "new")]:
+        groups.setdefault("".join((text or "").split()), []).append((-len(text or ""), doc_id is None, doc_id))
+    want = sorted((min(g)[2] or 0, len(g)) for g in groups.values())
+    assert sorted((r["keep_id"] or 0, r["group_size"]) for r in ledger.entries().collect()) == want
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -268,13 +285,17 @@ def test_limits_and_quantiles(spark, docs):
     histogram = token_counts.length_histogram(token_counts.token_lengths(docs))
     own = encoding.encoder(encoding.VOCABULARY)
     lengths = sorted(len(own.ids(t or "")) // 4 for _, t, *_ in ROWS)
-    limits = [0, 1, 50, 1024, 10**7]
+    limits = [-5, 0, 1, 50, 1024, 4095, 4096, 4097, 20_000, max(lengths), max(lengths) + 1, 10**7]
     answers = {r["limit"]: r for r in token_counts.totals_at(histogram, spark.createDataFrame([(v,) for v in limits], "limit long")).collect()}
+    assert len(answers) == len(limits)
     for v in limits:
         assert answers[v]["truncated_total"] == sum(min(n, v) for n in lengths)
         assert answers[v]["docs_from"] == sum(n >= v for n in lengths)
-    shares = token_counts.quantiles(histogram, spark.createDataFrame([(0.5,), (1.0,)], "share double")).collect()
-    assert {r["share"]: r["n_tokens"] for r in shares} == {0.5: lengths[len(lengths) // 2], 1.0: lengths[-1]}
+    asked = [0.01, 0.25, 0.5, 0.9, 1.0]
+    shares = token_counts.quantiles(histogram, spark.createDataFrame([(v,) for v in asked], "share double")).collect()
+    assert {r["share"]: r["n_tokens"] for r in shares} == {v: lengths[-(-int(v * 100) * len(lengths) // 100) - 1] for v in asked}
+    assert token_counts.quantiles(histogram.limit(0), spark.createDataFrame([(0.5,)], "share double")).isEmpty()
+    assert token_counts.totals_at(histogram, spark.createDataFrame([], "limit long")).isEmpty()
 
 
 def test_packing_plan_uses_every_piece_and_exact_complements():
@@ -332,6 +353,18 @@ def test_secret_edges(spark, tmp_path):
         assert (r["base_sha256"], r["spans"]) == digest_of(secret_spans(texts[r["doc_id"]] or "")), r
 
 
+def test_many_secrets_in_one_text(spark):
+    """Places are sums over blocks of matches; the time for them does not grow with the square."""
+    texts = [" ".join(f"{k:016x}" for k in range(n)) for n in (1, 63, 64, 65, 4097, 40_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.perf_counter()
+    got = df.select("doc_id", secrets.find_spans(F.col("text")).alias("spans")).collect()
+    assert time.perf_counter() - start < 15
+    for r in got:
+        n = len(texts[r["doc_id"]]) // 17 + 1
+        assert [(s["start"], s["stop"], s["kind"]) for s in r["spans"]] == [(17 * k, 17 * k + 16, "hex") for k in range(n)]
+
+
 def test_ledger_scans_only_unseen_blobs(spark, docs):
     folder = scratch_path(spark, "ledger-test")
     versions = docs.select("doc_id", "text")
