@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from peneira.operators.profiles import profile_terms
 from peneira.session import apply_settings, stage
 
 
@@ -16,3 +17,20 @@ def test_a_small_file_of_many_rows_is_not_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" not in plan
+
+
+def test_terms_are_not_sorted_where_profiles_are_read(spark):
+    """All aggregation comes after the exchange; below it stand only scan and generator."""
+    schema = (
+        "profile_id long, roles array<string>, technologies array<string>, seniority array<string>, modalities array<string>, "
+        "locations array<string>, required array<string>, avoid_companies array<string>, avoid_areas array<string>, "
+        "contract_types array<string>, unwanted array<struct<term:string,action:string>>"
+    )
+    row = (1, ["Dev", "dev"], ["PHP"], *[[]] * 7, [("rede", None)])
+    found = profile_terms(spark.createDataFrame([row, row], schema))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange"):]
+    assert "Sort" not in below and "Aggregate" not in below
+    assert sorted((r["dimension"], r["term"], r["action"]) for r in found.collect()) == [
+        ("role", "Dev", "boost"), ("technology", "PHP", "boost"), ("unwanted", "rede", "penalize"),
+    ]
