@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from peneira.operators import similarity
 from peneira.operators.profiles import profile_terms
 from peneira.session import apply_settings, stage
 
@@ -34,3 +35,21 @@ def test_terms_are_not_sorted_where_profiles_are_read(spark):
     assert sorted((r["dimension"], r["term"], r["action"]) for r in found.collect()) == [
         ("role", "Dev", "boost"), ("technology", "PHP", "boost"), ("unwanted", "rede", "penalize"),
     ]
+
+
+def test_shingles_of_one_text_alone_are_not_kept(spark, monkeypatch):
+    """Counts and prefixes hold shared shingles only; positions still count the others."""
+    kept = {}
+
+    def noted(df, name):
+        kept[name] = stage(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(similarity, "stage", noted)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "fim"]), *(" ".join(f"u{k}x{i}" for i in range(60)) for k in range(5))]
+    found = similarity.near_dup_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", 0.8)
+    assert [(r["id_a"], r["id_b"]) for r in found.collect()] == [(0, 1)]
+    assert kept["frequency"].count() == 55
+    assert {r["id"] for r in kept["probes"].select("id").collect()} == {0, 1}
+    assert kept["probes"].where("position = 0").count() == 0
