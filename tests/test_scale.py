@@ -1,8 +1,9 @@
 """What must not grow with the input: broadcasts, rows per link, memory of a task."""
 
+from conftest import rows
 from pyspark.sql import functions as F
 
-from peneira.operators import similarity
+from peneira.operators import keyed, similarity
 from peneira.operators.profiles import profile_terms
 from peneira.session import apply_settings, stage
 
@@ -53,3 +54,26 @@ def test_shingles_of_one_text_alone_are_not_kept(spark, monkeypatch):
     assert kept["frequency"].count() == 55
     assert {r["id"] for r in kept["probes"].select("id").collect()} == {0, 1}
     assert kept["probes"].where("position = 0").count() == 0
+
+
+def test_tasks_do_not_grow_with_the_pairs_that_meet(spark, monkeypatch):
+    """A thousand times the pairs: as many tasks and cells of a grid, and the same rows."""
+    for work in (1e10, 1e13):
+        tasks, per_cell = keyed.tasks_for(work, 200)
+        assert tasks == keyed.MAX_TASKS
+        side = int((work / 100) ** 0.5)
+        counts = spark.createDataFrame([(k, side, side) for k in range(100)], "k long, n_left long, n_right long")
+        cells = keyed.hot_keys(counts, ["k"], per_cell).agg(F.sum(F.col("_left").cast("long") * F.col("_right"))).first()[0]
+        assert keyed.MAX_TASKS <= cells <= 2 * keyed.MAX_TASKS
+    assert keyed.tasks_for(10, 200) == (200, keyed.WORK_PER_CELL)
+    assert keyed.tasks_for(1e13, 5000)[0] == 5000
+    monkeypatch.setattr(keyed, "WORK_PER_CELL", 20)
+    monkeypatch.setattr(keyed, "ROWS_PER_CELL", 3)
+    monkeypatch.setattr(keyed, "MAX_TASKS", 6)
+    a, b = spark.range(60).selectExpr("id a", "id % 2 k"), spark.range(50).selectExpr("id b", "id % 2 k")
+    sizes = a.groupBy("k").agg(F.count("a").alias("n_left")).join(b.groupBy("k").agg(F.count("b").alias("n_right")), "k")
+    tasks, per_cell = keyed.tasks_for(1500, 2)
+    hot = keyed.hot_keys(sizes, ["k"], per_cell)
+    assert tasks == 6 and hot.where("_left > 1 or _right > 1").count() == 2
+    joined = keyed.salted_join(a, b, ["k"], F.col("a"), F.col("b"), hot, tasks)
+    assert rows(joined.select("a", "b")) == rows(a.join(b, "k").select("a", "b"))
