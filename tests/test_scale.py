@@ -1,9 +1,10 @@
 """What must not grow with the input: broadcasts, rows per link, memory of a task."""
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from peneira.operators import keyed, similarity
+from peneira.operators import groups, keyed, similarity
 from peneira.operators.profiles import profile_terms
 from peneira.session import apply_settings, stage
 
@@ -77,3 +78,21 @@ def test_tasks_do_not_grow_with_the_pairs_that_meet(spark, monkeypatch):
     assert tasks == 6 and hot.where("_left > 1 or _right > 1").count() == 2
     joined = keyed.salted_join(a, b, ["k"], F.col("a"), F.col("b"), hot, tasks)
     assert rows(joined.select("a", "b")) == rows(a.join(b, "k").select("a", "b"))
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "double"])
+def test_all_links_of_a_group_are_not_sent_on(spark, monkeypatch, kind):
+    """A group linked pair by pair costs one link per id and task; which ids are joined stays the same."""
+    monkeypatch.setattr(groups, "HELD_IDS", 50)
+    ids = spark.range(120).selectExpr(f"cast(id as {kind}) as x", "id % 3 as g")
+    pairs = ids.join(ids.withColumnRenamed("x", "y"), "g").where("x < y").select(F.col("y").alias("id_a"), F.col("x").alias("id_b"))
+    odd = spark.createDataFrame([(None, 5), (5, None), (7, 7), (119, 500)], "id_a long, id_b long").selectExpr(*[f"cast({c} as {kind}) {c}" for c in ("id_a", "id_b")])
+    links = pairs.unionByName(odd).coalesce(2)
+    clean = links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).where("a != b")
+    sent = groups.spanning(clean).count()
+    assert sent == clean.count() if kind == "double" else sent <= 2 * 121 * 2
+    label = [(r["id"], r["group_id"]) for r in groups.dup_groups(links).collect()]
+    key = {"string": str, "long": int, "double": float}[kind]
+    same = {g: sorted(key(i) for i in [*range(g, 120, 3), *([500] if g == 119 % 3 else [])]) for g in range(3)}
+    assert sorted(label) == sorted((i, min(m)) for m in same.values() for i in m)
+    assert groups.spanning(clean.limit(0)).count() == 0
