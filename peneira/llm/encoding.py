@@ -17,6 +17,9 @@ _UNIT = re.compile(r"(?s)(?<=.)(?= \S)")
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 # Up to here Python and the vocabulary's own pattern agree on what a letter is.
 _LAST_LETTER = "ɏ"
+# After letters a run of these is one piece of its own; an apostrophe may begin a piece with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARKED = re.compile(f"[^\\W\\d_]*[{re.escape(MARKS)}]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -74,6 +77,8 @@ class Encoder:
         self.blank = self.letters[32]
         # Each id as a little-endian unsigned 32-bit integer.
         self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        # A token that the library finds in the text before the pattern does could lie across such a run's start.
+        self.marks = "" if any(_MARKED.fullmatch(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) else MARKS
         self.memo_words = memo_words
         self.memo = _Memo(self._after_blank)
         self.bare = _Memo(self._alone)
@@ -97,16 +102,23 @@ class Encoder:
         packed = self.packed
         return b"".join([packed[t.id] for t in self.model.tokenize(before + word)])
 
+    def _marked(self, word: str, memo: _Memo) -> bytes | None:
+        """Ids of letters with marks after them: two pieces, each remembered."""
+        letters = word.rstrip(self.marks) if self.marks else word
+        if len(letters) == len(word) or not letters.isalpha() or letters[-1] > _LAST_LETTER:
+            return None
+        return memo[letters] + self.bare[word[len(letters) :]]
+
     def _after_blank(self, word: str) -> bytes:
         """Ids of a blank and one word; it holds no blank itself.
 
-        A mark at its end and a line break between two words are pieces of their own.
+        Marks at its end and a line break between two words are pieces of their own.
         """
         found = self._letters_only(word, self.blank)
+        if found is None:
+            found = self._marked(word, self.memo)
         if found is not None:
             return found
-        if word[-1] in ",." and word[:-1].isalpha() and word[-2] <= _LAST_LETTER:
-            return self.memo[word[:-1]] + self.bare[word[-1]]
         lines = self._lines(word)
         if len(lines) > 1:
             return self.bare["\n"].join([self.memo[lines[0]], *map(self.bare.__getitem__, lines[1:])])
@@ -115,6 +127,8 @@ class Encoder:
     def _alone(self, word: str) -> bytes:
         """Ids of a word with nothing before it."""
         found = self._letters_only(word, "")
+        if found is None:
+            found = self._marked(word, self.bare)
         if found is not None:
             return found
         lines = self._lines(word)
