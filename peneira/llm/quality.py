@@ -175,6 +175,18 @@ def features(group: Sequence[str], stats: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stacked(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of all ``parts`` in order; each part is let go once it is copied, so they are not held twice."""
+    out = np.empty((sum(map(len, parts)), WIDTH), dtype=np.float32)
+    parts.reverse()
+    at = 0
+    while parts:
+        part = parts.pop()
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
 def train(x: np.ndarray, good: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic weights and offset for soft labels of rows that count ``times`` each, by accelerated gradient steps."""
     share = times / times.sum()
@@ -248,7 +260,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
                 parts.append(features(group, stats))
                 good.append(labels.posterior(pattern_of(votes(stats))))
         if parts:
-            w, bias = train(np.concatenate(parts), np.concatenate(good), np.concatenate(times))
+            w, bias = train(_stacked(parts), np.concatenate(good), np.concatenate(times))
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([bias])], ["w", "bias"])
 
     trained = training_sample(docs, share).repartition(1).mapInArrow(learn, "w binary, bias double").collect()
