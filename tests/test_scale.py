@@ -96,3 +96,33 @@ def test_all_links_of_a_group_are_not_sent_on(spark, monkeypatch, kind):
     same = {g: sorted(key(i) for i in [*range(g, 120, 3), *([500] if g == 119 % 3 else [])]) for g in range(3)}
     assert sorted(label) == sorted((i, min(m)) for m in same.values() for i in m)
     assert groups.spanning(clean.limit(0)).count() == 0
+
+
+def test_pairs_read_once_are_not_stored(spark, tmp_path, monkeypatch):
+    """A query that goes over the pairs once computes its own columns; stored pairs give the same rows."""
+    from test_score import job, places, preferences
+
+    from peneira.plans import triage
+    from peneira.standin import queries as Q
+
+    wishes = {"roles": ["Dev"], "technologies": ["php"], "contract_types": ["PJ"], "avoid_companies": ["Evil"], "max_age_days": 30}
+    jobs = [job(n, title="Dev", description=t, company=c) for n, t, c in
+            (("a", "php CLT", "Acme"), ("b", "php PJ", "Evil"), ("c", "php", "Acme"), ("d", "java", "Acme"), ("e", "php", None))]
+    table = spark.createDataFrame(jobs, "job_id string, title string, company string, location string, description string, url string, posted_at date")
+    table = table.withColumn("posted_at", F.when(F.col("job_id") == "c", F.to_date(F.lit("2001-08-30"))).otherwise(F.to_date(F.lit("1999-01-01"))))
+    people = preferences(spark, [(1, wishes), (2, {"roles": ["Dev"]}), (3, {"roles": ["QA"]})])
+    found = triage.prepare(table, people, places(spark))
+    listed = table.withColumn("source_id", F.lit(1))
+    sources = spark.createDataFrame([(1, "s")], "source_id int, name string")
+    monkeypatch.setattr(Q, "_stored", {})
+    monkeypatch.setattr(Q, "inputs", lambda spark, d: found)
+    monkeypatch.setattr(Q.V, "jobs", lambda spark, d: listed)
+    monkeypatch.setattr(Q.V, "sources", lambda spark, d: sources)
+    written, whole = [], Q.stage
+    monkeypatch.setattr(Q, "stage", lambda df, n: written.append(n) or whole(df, n))
+    names = ("cln5_flag_stale", "cln6_flag_incompatible", "cln8_resolve_status", "dsh2_min_score")
+    once = [rows(Q.QUERIES[name](spark, str(tmp_path))) for name in names]
+    assert all(once) and not written
+    Q.triaged(spark, str(tmp_path))
+    assert written == ["triaged"]
+    assert [rows(Q.QUERIES[name](spark, str(tmp_path))) for name in names] == once
