@@ -199,6 +199,22 @@ def test_the_lists_minimum_never_cuts_scoring(spark, min_score):
     assert rows(every.where("score >= 50").select("job_id", "score")) == rows(stored.select("job_id", "score"))
 
 
+def test_filters_on_flags_are_not_asked_where_pairs_meet(spark):
+    """What a pair breaks is looked at once its score is known, also where a query filters on it."""
+    people = [(1, FULL | {"avoid_companies": ["Evil"]}), (2, FULL)]
+    jobs = [job("a", description="Sênior, Remoto, Node.js", company="Evil"), job("b", description="Sênior, Remoto, Node.js")]
+    inputs = triage.prepare(spark.createDataFrame(jobs, JOB), preferences(spark, people), places(spark))
+    pairs = triage.triaged(inputs, F.to_date(F.lit("2024-01-01")))
+    broken = pairs.where(F.size("incompatible") > 0).select("profile_id", "job_id", "incompatible")
+    assert rows(broken) == [(1, "a", ["company: evil"])]
+    active = pairs.where("status = 'active'").select("profile_id", "job_id")
+    assert rows(active) == [(1, "b"), (2, "a"), (2, "b")]
+    for found in (broken, active):
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins = [line for line in plan if "Join Inner" in line and "mask_1_role" in line]
+        assert joins and not any("avoid_company" in line for line in joins)
+
+
 def test_only_active_pairs_are_ranked_and_drafted(spark):
     from peneira.operators import drafts as D
 
