@@ -204,7 +204,7 @@ def test_filters_on_flags_are_not_asked_where_pairs_meet(spark):
     people = [(1, FULL | {"avoid_companies": ["Evil"]}), (2, FULL)]
     jobs = [job("a", description="Sênior, Remoto, Node.js", company="Evil"), job("b", description="Sênior, Remoto, Node.js")]
     inputs = triage.prepare(spark.createDataFrame(jobs, JOB), preferences(spark, people), places(spark))
-    pairs = triage.triaged(inputs, F.to_date(F.lit("2024-01-01")))
+    pairs = triage.triaged(inputs, F.to_date(F.lit("2024-01-01")), apart=True)
     broken = pairs.where(F.size("incompatible") > 0).select("profile_id", "job_id", "incompatible")
     assert rows(broken) == [(1, "a", ["company: evil"])]
     active = pairs.where("status = 'active'").select("profile_id", "job_id")
