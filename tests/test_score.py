@@ -224,3 +224,40 @@ def test_only_active_pairs_are_ranked_and_drafted(spark):
     )
     assert [r["job_id"] for r in triage.top_jobs(pairs, 2).orderBy("rank").collect()] == ["b", "c"]
     assert [r["job_id"] for r in D.eligible(pairs).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("least", [None, 20, 80])
+def test_active_pairs_are_found_without_the_others(spark, monkeypatch, least):
+    """Only postings that can be active meet profiles; the pairs are those of all pairs that are active."""
+    jobs, people = random_world(3)
+    people = [(i, p | {"avoid_companies": ["Acme"] if i % 5 == 0 else [], "max_age_days": 10 * (i % 3) or None}) for i, p in people]
+    table = spark.createDataFrame([(*j[:6], None if n % 4 else f"2024-01-{1 + n % 28:02d}") for n, j in enumerate(jobs)], JOB.replace("posted_at date", "posted_at string"))
+    table = table.withColumns({"posted_at": F.to_date("posted_at"), "url": F.when(F.col("job_id") != "j2", F.col("url"))})
+    inputs = triage.prepare(table, preferences(spark, people), places(spark))
+    as_of = F.to_date(F.lit("2024-01-30"))
+    met, whole = [], triage.candidates
+    monkeypatch.setattr(triage, "candidates", lambda i, *a: met.append(i.postings.count()) or whole(i, *a))
+    got = triage.active(inputs, as_of, least=least)
+    can_be = inputs.postings.where("not failed and dup_of is null").count()
+    assert met == [can_be] and can_be < inputs.postings.count()
+    want = triage.triaged(inputs, as_of).where("status = 'active'").where(F.col("score") >= (least or 0))
+    columns = ("profile_id", "job_id", "score", "classification", "posted_at", "min_score", "modality")
+    assert rows(got.select(*columns)) == rows(want.select(*columns))
+    assert not got.isEmpty()
+
+
+def test_drafts_and_ranks_do_not_store_all_pairs(spark, monkeypatch):
+    """Queries over active pairs neither store nor read the hidden ones."""
+    from conftest import SF_DIR
+
+    from peneira.standin import queries as Q
+
+    monkeypatch.setattr(Q, "_stored", dict(Q._stored))
+    for name in ("triaged", "active", "matched", "materials"):
+        Q._stored.pop((spark.sparkContext.applicationId, SF_DIR, name), None)
+    monkeypatch.setattr(Q, "triaged", lambda *_: pytest.fail("all pairs are stored"))
+    assert Q.QUERIES["mat1_eligible"](spark, SF_DIR).where("score < 80").isEmpty()
+    assert Q.QUERIES["mat2_ready"](spark, SF_DIR).count() > 0
+    assert Q.QUERIES["mat4_tailored_cv"](spark, SF_DIR).count() > 0
+    assert Q.QUERIES["scr15_rank_stored"](spark, SF_DIR).count() > 0
+    assert Q.active(spark, SF_DIR).where("status != 'active'").isEmpty()
